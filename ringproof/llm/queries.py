@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 from __future__ import annotations
 
-from . import line_dedup, warc
+from . import line_dedup, simhash, warc
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op6_warc": warc.op6_warc,
     "op7_line_dedup": line_dedup.op7_line_dedup,
 }
