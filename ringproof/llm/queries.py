@@ -1,15 +1,17 @@
 """The registered queries of this subpackage and their SQL."""
 from __future__ import annotations
 
-from . import line_dedup, passages, simhash, warc
+from . import line_dedup, passages, quality_rules, simhash, warc
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_simhash": simhash.op2_simhash,
     "op5_passages": passages.op5_passages,
     "op6_warc": warc.op6_warc,
     "op7_line_dedup": line_dedup.op7_line_dedup,
 }
 SQL = {
+    "op1_quality_rules": quality_rules.OP1_SQL,
     "op5_passages": passages.OP5_SQL,
     "op6_warc": warc.OP6_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
