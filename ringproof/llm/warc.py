@@ -60,10 +60,8 @@ def write_archive(pages: DataFrame, scratch: Scratch, min_bytes: int = MIN_BYTES
     head = F.when(revisit, common("revisit", [("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", name(F.col("first_id")))])).otherwise(common("response", []))
     records = joined.withColumn("http", http).select("page_id", "digest", F.encode(F.concat(head, F.col("http")), "UTF-8").alias("header"))
     scratch.save(records, "records")
-    # One copy of each payload: the smallest page_id of the digest owns it. Copies are dropped before the payload is moved.
-    owners = first.select("digest", F.col("first_id").alias("page_id"))
-    stored = keyed.join(owners, (keyed["digest"] == owners["digest"]) & keyed["page_id"].eqNullSafe(owners["page_id"]), "left_semi")
-    scratch.save(stored.select("digest", "n_bytes", "payload").dropDuplicates(["digest"]), "payloads")
+    # One copy of each payload; copies of a task's own rows go before the shuffle.
+    scratch.save(keyed.groupBy("digest", "n_bytes").agg(F.any_value("payload").alias("payload")), "payloads")
 
 
 def read_archive(scratch: Scratch) -> tuple[DataFrame, DataFrame]:
