@@ -24,8 +24,8 @@ MIN_GROUP = 200
 #: feature: (tolerance below or None for no lower fence, tolerance above); in millionths, word length in thousandths.
 FEATURES = {
     "symbols_ppm": (None, 30_000),
-    "repeats_ppm": (None, 200_000),
-    "dup_lines_ppm": (None, 200_000),
+    "repeats_ppm": (None, 300_000),
+    "dup_lines_ppm": (None, 400_000),
     "capitals_ppm": (None, 150_000),
     "word_milli": (1_500, 1_500),
 }

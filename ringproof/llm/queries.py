@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and their SQL."""
 from __future__ import annotations
 
-from . import line_dedup, passages, pii, quality_rules, simhash, warc
+from . import line_dedup, passages, pii, quality_classifier, quality_rules, simhash, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_simhash": simhash.op2_simhash,
     "op3_pii": pii.op3_pii,
+    "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_passages": passages.op5_passages,
     "op6_warc": warc.op6_warc,
     "op7_line_dedup": line_dedup.op7_line_dedup,
