@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 from __future__ import annotations
 
-from . import line_dedup, passages, pii, quality_classifier, quality_rules, simhash, warc
+from . import decontaminate, line_dedup, passages, pii, quality_classifier, quality_rules, simhash, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_passages": passages.op5_passages,
     "op6_warc": warc.op6_warc,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_decontamination": decontaminate.op8_decontamination,
 }
 SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
