@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, passages, pii, quality_classifier, quality_rules, simhash, warc
+from . import decontaminate, line_dedup, passages, pieces, pii, quality_classifier, quality_rules, simhash, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_decontamination": decontaminate.op8_decontamination,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
 }
 SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
