@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, passages, pieces, pii, quality_classifier, quality_rules, simhash, warc
+from . import decontaminate, language_model, line_dedup, passages, pieces, pii, quality_classifier, quality_rules, simhash, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_sentencepiece": pieces.op9_sentencepiece,
+    "op10_language_model": language_model.op10_language_model,
 }
 SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
