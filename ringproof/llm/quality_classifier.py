@@ -18,8 +18,6 @@ each; conflicting labels of a document count each.
 """
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +33,7 @@ STEPS = 150
 _NO_CAPITALS = bytes(range(65, 91))
 _FOLD = bytes(32 if chr(i) in "\".,;:!?|#*$%&()[]{}<>'" else i + 32 if 65 <= i <= 90 else i for i in range(256))
 N_DENSE = 8
+TARGETS = ("quality", "toxic")
 
 
 def evidence(text: str | None) -> tuple[list[float], set[bytes]]:
@@ -66,36 +65,45 @@ def fit_logistic(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, width: int,
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str, fit_rows: int = FIT_ROWS) -> dict | None:
-    """The model of a label column; None if a class is missing. docs: id, text. The driver holds a bounded sample."""
-    known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), (F.col(target) > 0).cast("int").alias("y"))
+def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """id, the targets (0, 1 or null), dense, words: the evidence of at most fit_rows labelled documents. docs: id, text."""
+    known = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), *[(F.col(t) > 0).cast("int").alias(t) for t in TARGETS])
     # At most fit_rows ids: a proven bound for the broadcast.
-    picked = known.orderBy(F.xxhash64("id"), "id", "y").limit(fit_rows)
-    sample = docs.join(F.broadcast(picked), "id")
+    picked = known.orderBy(F.xxhash64("id"), "id", *TARGETS).limit(fit_rows)
 
     def make():
         def run(rows):
             found = [evidence(t) for t in rows["text"]]
-            return {"id": rows["id"], "y": rows["y"], "dense": [f[0] for f in found], "words": [list(f[1]) for f in found]}
+            return {n: rows[n] for n in ("id", *TARGETS)} | {"dense": [f[0] for f in found], "words": [sorted(f[1]) for f in found]}
 
         return run
 
-    got = map_arrow(sample.select("id", "y", "text"), make, "id long, y int, dense array<double>, words array<binary>")
-    counts = Counter()
-    rows = sorted(((r["id"], r["y"], r["dense"], [bytes(w) for w in r["words"]]) for r in got.toLocalIterator()), key=lambda r: (r[0], r[1], r[2]))
-    for r in rows:
-        counts.update(r[3])
-    y = np.array([r[1] for r in rows], float)
-    if not len(y) or y.min() == y.max():
+    return map_arrow(docs.join(F.broadcast(picked), "id").select("id", *TARGETS, "text"), make, "id long, " + ", ".join(f"{t} int" for t in TARGETS) + ", dense array<double>, words array<binary>")
+
+
+def fit(sample: DataFrame, target: str) -> dict | None:
+    """The model of a target; None if a class is missing. The driver gets at most VOCABULARY words and, of each sampled document, the numbers of those."""
+    rows = sample.where(F.col(target).isNotNull())
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("n1")).first()
+    n, n1 = counts["n"], counts["n1"] or 0
+    if not 0 < n1 < n:
         return None
-    positive = Counter(w for r in rows if r[1] for w in r[3])
-    n1, n0 = y.sum(), len(y) - y.sum()
-    z = lambda w, n: abs(positive[w] / n1 - (n - positive[w]) / n0) / np.sqrt((n + 0.5) / len(y) * (1 - n / (len(y) + 1)) * (1 / n1 + 1 / n0))
-    ranked = sorted(((z(w, n), w) for w, n in counts.items() if n >= MIN_DF), key=lambda zw: (-zw[0], zw[1]))
-    chosen = [w for score, w in ranked[:VOCABULARY] if score >= LEAST_Z]
-    at = {w: i for i, w in enumerate(chosen)}
-    pairs = np.array([(i, at[w]) for i, r in enumerate(rows) for w in r[3] if w in at], np.int64).reshape(-1, 2)
-    return {"weights": fit_logistic(np.array([r[2] for r in rows]), pairs[:, 0], pairs[:, 1], len(at), y), "words": at}
+    words = rows.select(target, F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("n1")).where((F.col("n") >= MIN_DF) & (F.col("n") < 0.5 * n))
+    share = (F.col("n") + 0.5) / n
+    z = F.abs(F.col("n1") / n1 - (F.col("n") - F.col("n1")) / (n - n1)) / F.sqrt(share * (1 - F.col("n") / (n + 1)) * (1 / n1 + 1 / (n - n1)))
+    chosen = [bytes(r["word"]) for r in words.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(VOCABULARY).collect()]
+    shared = sample.sparkSession.sparkContext.broadcast(chosen)
+
+    def make():
+        at = {w: i for i, w in enumerate(shared.value)}
+        return lambda rows: {"id": rows["id"], "y": rows["y"], "dense": rows["dense"], "words": [[at[w] for w in ws if w in at] for ws in rows["words"]]}
+
+    got = map_arrow(rows.select("id", F.col(target).alias("y"), "dense", "words"), make, "id long, y int, dense array<double>, words array<int>").toArrow().to_pydict()
+    order = sorted(range(len(got["id"])), key=lambda i: (got["id"][i], got["y"][i], got["dense"][i]))
+    words_of = [got["words"][i] for i in order]
+    rows_at = np.repeat(np.arange(len(order)), [len(w) for w in words_of])
+    weights = fit_logistic(np.array([got["dense"][i] for i in order]), rows_at, np.array([w for ws in words_of for w in ws], np.int64), len(chosen), np.array([got["y"][i] for i in order], float))
+    return {"weights": weights, "words": {w: i for i, w in enumerate(chosen)}}
 
 
 def scores(docs: DataFrame, models: dict[str, dict | None], keep: list[str]) -> DataFrame:
@@ -156,15 +164,13 @@ def with_posterior(scored: DataFrame, sites: DataFrame, target: str) -> DataFram
     return joined.withColumn(f"{target}_posterior", 1 / (1 + F.exp(-z))).drop("n", "s", "ss", "host_n", "host_s", "host_ss", "all_n", "all_s", "all_ss", "between", "hosts", "nn", "path_between", "paths")
 
 
-TARGETS = ("quality", "toxic")
-
-
 def classified(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
     """A row for each row of docs: the columns in keep, _host, _path, quality, toxic (document evidence), their posteriors, accepted."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "quality-classifier")
     keep = keep or []
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    models = {t: fit(texts, labels, t, fit_rows) for t in TARGETS}
+    sample = scratch.save(labelled_sample(texts, labels, fit_rows), "sample")
+    models = {t: fit(sample, t) for t in TARGETS}
     named = {f"_rp_{i}": c for i, c in enumerate(keep)}
     rows = docs.select(*[F.col(c).alias(n) for n, c in named.items()], F.coalesce(host.cast("string"), F.lit("")).alias("_host"), F.coalesce(path.cast("string"), F.lit("")).alias("_path"), F.col(text_col).alias("text"))
     fixed = scratch.save(scores(rows.select("_host", "_path", "text"), models, ["_host", "_path"]), "evidence")
