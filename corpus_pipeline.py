@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ringproof.llm import decontaminate, line_dedup, pieces, quality_classifier, simhash
 from ringproof.llm.common import Scratch, join_sized, table
 
-#: Near duplicates on word shingles: five words; two documents are alike if their fingerprints differ in at most this many bits.
-SHINGLE, RADIUS = 5, 4
+#: Words of a shingle.
+SHINGLE = 5
 
 
 def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +30,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of the smallest id stays; of its repeated rows one. Documents without a word are no copies of each other: all stay."""
+    """Of each class of near duplicates (shingle similarity of about 0.8 or more, by 256 bits) the document of the smallest id stays, of its repeated rows one.
+
+    Documents without a word are no copies of each other: all stay."""
     scratch = Scratch(spark, "pipeline-simhash")
-    prints = scratch.save(simhash.fingerprints(docs, width=SHINGLE), "prints")
+    prints = scratch.save(simhash.fingerprints(docs, width=SHINGLE, wide=True), "prints")
     known = prints.where("fp <> 0")
-    classes = scratch.save(simhash.classes(scratch.save(known, "known"), scratch, RADIUS).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct(), "kept")
+    classes = scratch.save(simhash.classes(scratch.save(known, "known"), scratch, simhash.WIDE_FIRST, wide_radius=simhash.WIDE_RADIUS).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct(), "kept")
     wordless = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
     lone = docs.where(F.col("doc_id").isNull() | wordless)
     rest = docs.where(F.col("doc_id").isNotNull() & ~wordless)

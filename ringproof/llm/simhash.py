@@ -33,6 +33,12 @@ TILE = 16_384
 STRIDE = 1_000_000_000
 #: Pairs that are compared at a time.
 BLOCK = 1 << 17
+#: Of 256 bits: those that may differ. Fingerprints of texts with a shingle similarity (Jaccard) of 0.8 differ in about 39.
+WIDE_RADIUS = 40
+#: And of the first 64, which select the candidates.
+WIDE_FIRST = 14
+#: Odd multipliers (fixed values).
+_MIXERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 _UPPER = bytes(range(65, 91))
 _FOLD = bytes.maketrans(_UPPER, _UPPER.lower())
 
@@ -66,21 +72,38 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """id, fp (the fingerprint's bits as a long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, wide: bool = False) -> DataFrame:
+    """id, fp (the fingerprint's bits as a long), more (wide: 192 bits more, of the hashes mixed anew), node (what tells fingerprints apart)."""
 
     def make():
-        return lambda rows: {"id": rows["id"], "fp": [_signed(fingerprint(shingle_hashes(t, width))) for t in rows["text"]]}
+        def run(rows):
+            hashes = [shingle_hashes(t, width) for t in rows["text"]]
+            more = [[_signed(fingerprint(_mixed(h, k))) for k in _MIXERS] if wide else [] for h in hashes]
+            return {"id": rows["id"], "fp": [_signed(fingerprint(h)) for h in hashes], "more": more}
+
+        return run
+
+    out = map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), make, "id long, fp long, more array<long>")
+    return out.withColumn("node", F.xxhash64("fp", "more") if wide else F.col("fp"))
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), make, "id long, fp long")
 
+def _mixed(x: np.ndarray, k: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(k)
+        return (x ^ (x >> np.uint64(27))) * np.uint64(_MIXERS[0])
 
-def forest(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = BLOCK) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links between a and b, or within a. a and b: distinct uint64 values, all of one population count each."""
+
+def forest(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = BLOCK, wide: tuple | None = None) -> list[tuple[int, int]]:
+    """Edges (places in a and b) of a spanning forest of the links between a and b, or within a. a and b: uint64 values, all of one population count each.
+
+    wide: (more bits of a, of b, radius of all bits), each a row of uint64 values: links must hold there, too."""
     half = lambda x: np.bitwise_count(x >> np.uint64(32)).astype(np.int64)
-    a = a[np.argsort(half(a), kind="stable")]
     own = b is None
-    b = a if own else b[np.argsort(half(b), kind="stable")]
+    place_a = np.argsort(half(a), kind="stable")
+    place_b = place_a if own else np.argsort(half(b), kind="stable")
+    a, b = a[place_a], (a if own else b)[place_b]
+    if wide:
+        more_a, more_b = wide[0][place_a], (wide[0] if own else wide[1])[place_b]
     ha, hb = half(a), half(b)
     if not len(a) or not len(b):
         return []
@@ -101,6 +124,9 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = BLOCK)
                     continue
                 x, y = np.nonzero(near)
                 x, y = x + i, y + j0
+                if wide:
+                    some = np.bitwise_count(a[x] ^ b[y]) + np.bitwise_count(more_a[x] ^ more_b[y]).sum(axis=1) <= wide[2]
+                    x, y = x[some], y[some]
                 p, q = label[x], label[y + first_b]
                 if not len(new := np.flatnonzero(p != q)):
                     continue
@@ -114,7 +140,7 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = BLOCK)
                 for k, r, s in zip(new.tolist(), p[new].tolist(), q[new].tolist()):
                     if (r := root(r)) != (s := root(s)):
                         parent[max(r, s)] = min(r, s)
-                        edges.append((int(a[x[k]]), int(b[y[k]])))
+                        edges.append((int(place_a[x[k]]), int(place_b[y[k]])))
                 move = np.arange(len(label))
                 for t in list(parent):
                     move[t] = root(t)
@@ -122,51 +148,57 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = BLOCK)
     return edges
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """distinct: fp (distinct, no null; a written table). a, b: edges that connect just what links within the radius connect."""
+def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, wide_radius: int | None = None) -> DataFrame:
+    """distinct: fp, more, node (distinct, no null; a written table). a, b: edges that connect just the nodes that links within the radius connect."""
     spark = distinct.sparkSession
     counted = distinct.withColumn("p", F.bit_count("fp"))
     # 65 numbers at most: into how many tiles each population count is split.
     split = {r["p"]: -(-r["n"] // tile) for r in counted.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not split:
-        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+        return distinct.select(F.col("node").alias("a"), F.col("node").alias("b"))
     chunks = F.create_map(*[F.lit(int(x)) for kv in split.items() for x in kv])
-    tiles = counted.withColumn("c", F.pmod(F.xxhash64("fp"), chunks[F.col("p")]).cast("int")).groupBy("p", "c").agg(F.collect_list("fp").alias("fps"))
-    tiles = tiles.select((F.col("p").cast("long") * STRIDE + F.col("c")).alias("t"), "p", "fps")
+    members = F.collect_list(F.struct("node", "fp", "more"))
+    tiles = counted.withColumn("c", F.pmod(F.xxhash64("node"), chunks[F.col("p")]).cast("int")).groupBy("p", "c").agg(members.alias("m"))
+    tiles = tiles.select((F.col("p").cast("long") * STRIDE + F.col("c")).alias("t"), "p", F.col("m.node").alias("nodes"), F.col("m.fp").alias("fps"), F.flatten("m.more").alias("more"))
     # The partners of a tile: itself and later tiles of its own and the next `radius` population counts.
     names = F.array(*[F.struct(F.lit(int(p)).alias("p"), F.sequence(F.lit(0), F.lit(int(n) - 1)).alias("cs")) for p, n in sorted(split.items())])
     near = F.flatten(F.transform(F.filter(names, lambda x: (x["p"] >= F.col("p")) & (x["p"] <= F.col("p") + radius)), lambda x: F.transform(x["cs"], lambda c: x["p"].cast("long") * STRIDE + c)))
-    left = tiles.select(F.col("t").alias("s"), F.col("fps").alias("left"), F.explode(F.filter(near, lambda x: x >= F.col("t"))).alias("t"))
-    pairs = left.join(tiles.select("t", F.col("fps").alias("right")), "t").repartition(4 * parts(spark), "s", "t")
+    left = tiles.select(F.col("t").alias("s"), *[F.col(c).alias(f"l_{c}") for c in ("nodes", "fps", "more")], F.explode(F.filter(near, lambda x: x >= F.col("t"))).alias("t"))
+    pairs = left.join(tiles.drop("p"), "t").repartition(4 * parts(spark), "s", "t")
 
     def make():
+        def bits(x, n):
+            return np.array(x, np.int64).view(np.uint64).reshape(n, -1)
+
         def run(rows):
-            found = []
-            for s, t, x, y in zip(rows["s"], rows["t"], rows["left"], rows["right"]):
-                a = np.array(x, np.int64).view(np.uint64)
-                found += forest(a, None if s == t else np.array(y, np.int64).view(np.uint64), radius)
-            return {"a": [_signed(p) for p, _ in found], "b": [_signed(q) for _, q in found]}
+            out = {"a": [], "b": []}
+            for s, t, la, ra, fa, fb, ma, mb in zip(*[rows[c] for c in ("s", "t", "l_nodes", "nodes", "l_fps", "fps", "l_more", "more")]):
+                wide = (bits(ma, len(la)), bits(mb, len(ra)), wide_radius) if wide_radius is not None else None
+                edges = forest(bits(fa, len(fa)).ravel(), None if s == t else bits(fb, len(fb)).ravel(), radius, wide=wide)
+                out["a"] += [la[i] for i, _ in edges]
+                out["b"] += [ra[j] for _, j in edges]
+            return out
 
         return run
 
     return map_arrow(pairs, make, "a long, b long")
 
 
-def classes(prints: DataFrame, scratch: Scratch, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """prints: id, fp (a written table). fp, component_id for every distinct fp."""
-    distinct = scratch.save(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), radius, tile), scratch)
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def classes(prints: DataFrame, scratch: Scratch, radius: int = RADIUS, tile: int = TILE, wide_radius: int | None = None) -> DataFrame:
+    """prints: as fingerprints gives, a written table. node, component_id for every distinct fingerprint."""
+    distinct = scratch.save(prints.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("more").alias("more")), "distinct")
+    roots = components(links(distinct.select("fp", "more", "node"), radius, tile, wide_radius), scratch).withColumnRenamed("node", "n")
+    rooted = distinct.join(roots, distinct["node"] == roots["n"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     rooted = scratch.save(rooted, "rooted")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(smallest, "root").select("fp", "component_id")
+    return rooted.join(smallest, "root").select("node", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH, tile: int = TILE) -> DataFrame:
-    """id, fp, component_id: a row for each row of docs."""
+    """id, fp, node, component_id: a row for each row of docs."""
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.save(fingerprints(docs, id_col, text_col, width), "prints")
-    return prints.join(classes(prints, scratch, radius, tile), "fp")
+    return prints.join(classes(prints, scratch, radius, tile), "node")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
