@@ -63,7 +63,7 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, slice_bytes: int = 8 << 20) -> DataFrame:
     """make() is called once a task and gives a function from the columns of a batch to the columns of the output (lists or arrays)."""
     kind: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
@@ -71,15 +71,15 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         func = make()
         for batch in batches:
-            for part in _slices(batch):
+            for part in _slices(batch, slice_bytes):
                 out = func({n: part.column(n).to_pylist() for n in part.schema.names})
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in ((out[f.name], f) for f in arrow)], schema=arrow)
 
     return df.mapInArrow(run, kind)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of about 16 MB, so that a batch of long texts doesn't become one huge list."""
+def _slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of about 8 MB, or `most`, so that a batch of long texts doesn't become one huge list."""
     n = max(1, min(batch.num_rows, batch.nbytes // most + 1))
     step = -(-batch.num_rows // n) if batch.num_rows else 1
     for i in range(0, batch.num_rows, step):

@@ -16,6 +16,7 @@ training tokens every count is zero; rows that repeat a doc_id keep a row each.
 """
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -29,10 +30,12 @@ from .common import Scratch, _slices, map_arrow, table
 
 SMOOTH = 0.1
 TABLE, HEAD, WIDTH, MIDDLE = 50_000, 1024, 32, 4096
-HIDDEN, STEPS, LANES = 16, 16, 512
+HIDDEN, STEPS, MOST_STEPS, LANES = 16, 16, 128, 512
 RATE = 0.08
 FAN = 16
 CACHE = 400_000
+#: Bytes of text whose documents go side by side: long documents take many steps, which others share.
+SLICE = 32 << 20
 SEED = 7
 _UPPER = bytes(range(65, 91))
 _FOLD = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -141,10 +144,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def forward(p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-    """x: steps by lanes. The states after each step, and what going back needs."""
+def forward(p: dict, x: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
+    """x: steps by lanes; keep: 0 where a document begins, else 1. The states after each step, and what going back needs."""
     out, back = np.empty((len(x), *h.shape), np.float32), []
     for t in range(len(x)):
+        h = h * keep[t][:, None]
         gx, gh = p["x"][x[t]], h @ p["u"]
         zr = 1 / (1 + np.exp(-(gx[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN])))
         z, r, un = zr[:, :HIDDEN], zr[:, HIDDEN:], gh[:, 2 * HIDDEN :]
@@ -186,7 +190,7 @@ def outputs(p: dict, h: np.ndarray, classes: np.ndarray, words: np.ndarray, slop
     return logs, dh
 
 
-def backward(p: dict, x: np.ndarray, back: list, dhs: np.ndarray, slopes: dict) -> None:
+def backward(p: dict, x: np.ndarray, keep: np.ndarray, back: list, dhs: np.ndarray, slopes: dict) -> None:
     """Back through the steps of a window, and no further."""
     dgx, du, dh = np.empty((*x.shape, 3 * HIDDEN), np.float32), np.zeros_like(p["u"]), np.zeros(dhs.shape[1:], np.float32)
     for t in range(len(x) - 1, -1, -1):
@@ -200,12 +204,13 @@ def backward(p: dict, x: np.ndarray, back: list, dhs: np.ndarray, slopes: dict)
         gh = g.copy()
         gh[:, 2 * HIDDEN :] *= r
         du += h.T @ gh
-        dh = dh * z + gh @ p["u"].T
+        dh = (dh * z + gh @ p["u"].T) * keep[t][:, None]
     flat = x.ravel()
     order = np.argsort(flat, kind="stable")
-    kinds, first = np.unique(flat[order], return_index=True)
+    flat = flat[order]
+    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
     slopes["u"] = du
-    slopes["x"] = (kinds, np.add.reduceat(dgx.reshape(-1, 3 * HIDDEN)[order], first, axis=0))
+    slopes["x"] = (flat[first], np.add.reduceat(dgx.reshape(-1, 3 * HIDDEN)[order], first, axis=0))
 
 
 class Trainer:
@@ -219,37 +224,60 @@ class Trainer:
             self.p[k][at] -= RATE * g / np.sqrt(self.scale[k][at])
 
 
+def lanes_of(docs: list[np.ndarray], lanes: int) -> list[list[int]]:
+    """Documents dealt to lanes of about equal length, the longest first, each to the shortest lane."""
+    heap = [(0, k) for k in range(min(lanes, len(docs)))]
+    out: list[list[int]] = [[] for _ in heap]
+    for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+        size, k = heapq.heappop(heap)
+        out[k].append(i)
+        heapq.heappush(heap, (size + len(docs[i]), k))
+    return out
+
+
 def walk(p: dict, shape: Shape, docs: list[np.ndarray], trainer: Trainer | None = None) -> np.ndarray:
-    """The natural log of the probability of each document's classes and head words; with a trainer, learning on the way."""
+    """The natural log of the probability of each document's classes and head words; with a trainer, learning on the way.
+
+    Lanes run side by side, each over its documents one after the other; the state begins anew with a document and is
+    carried over the windows of the whole of it."""
     total = np.zeros(len(docs))
-    order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-    lanes, steps = (LANES, STEPS) if trainer else (4 * LANES, 2 * STEPS)
-    for g in range(0, len(order), lanes):
-        some = order[g : g + lanes]
-        sizes = np.array([len(docs[i]) for i in some])
-        h, before = np.zeros((len(some), HIDDEN), np.float32), np.full(len(some), N_INPUTS - 1)
-        for a in range(0, int(sizes[0]), steps):
-            live = int(np.searchsorted(-sizes, -a, side="left"))  # the longest come first: those longer than a
-            width = min(steps, int(sizes[0]) - a)
-            ids = np.zeros((width, live), np.int64)
-            for k in range(live):
-                part = docs[some[k]][a : a + width]
-                ids[: len(part), k] = part
-            mask = (a + np.arange(width))[:, None] < sizes[None, :live]
-            classes, inputs = shape.classes(ids)
-            x = np.concatenate((before[None, :live], inputs[:-1]))
-            hs, back = forward(p, x, h[:live])
-            h, before = hs[-1], inputs[-1]
-            slopes: dict | None = {} if trainer else None
-            logs, dh = outputs(p, hs[mask], classes[mask], ids[mask] % WIDTH, slopes)
-            lane = np.broadcast_to(np.arange(live), mask.shape)[mask]
-            total[some[:live]] += np.bincount(lane, logs, live)
-            if trainer:
-                dhs = np.zeros_like(hs)
-                dhs[mask] = dh
-                backward(p, x, back, dhs, slopes)
-                trainer.step(slopes)
-                trainer.tokens += int(mask.sum())
+    lanes = sorted(lanes_of(docs, LANES), key=lambda lane: -sum(len(docs[i]) for i in lane))
+    if not lanes:
+        return total
+    sizes = np.array([sum(len(docs[i]) for i in lane) for lane in lanes])
+    ids, owner = np.zeros((sizes[0], len(lanes)), np.int32), np.full((sizes[0], len(lanes)), -1, np.int32)
+    begins = np.zeros(ids.shape, bool)
+    for k, lane in enumerate(lanes):
+        at = sizes[0] - sizes[k]
+        ids[at:, k] = np.concatenate([docs[i] for i in lane])
+        n = np.array([len(docs[i]) for i in lane])
+        owner[at:, k] = np.repeat(np.array(lane, np.int32), n)
+        begins[at + np.cumsum(n) - n, k] = True
+    h, before = np.zeros((len(lanes), HIDDEN), np.float32), np.full(len(lanes), N_INPUTS - 1)
+    a = 0
+    while a < len(ids):
+        # The longest lanes begin first and all end together; while few run, a window has more steps.
+        live = int(np.searchsorted(-sizes, a + STEPS - len(ids), side="left"))
+        steps = min(MOST_STEPS, STEPS * max(1, len(lanes) // (2 * live)))
+        live = int(np.searchsorted(-sizes, a + steps - len(ids), side="left"))
+        part, first, own = ids[a : a + steps, :live], begins[a : a + steps, :live], owner[a : a + steps, :live].ravel()
+        a += steps
+        classes, inputs = shape.classes(part)
+        x = np.where(first, N_INPUTS - 1, np.concatenate((before[None, :live], inputs[:-1])))
+        keep = (~first).astype(np.float32)
+        hs, back = forward(p, x, keep, h[:live])
+        h[:live], before[:live] = hs[-1], inputs[-1]
+        some = np.flatnonzero(own >= 0)
+        slopes: dict | None = {} if trainer else None
+        flat = hs.reshape(-1, HIDDEN)
+        logs, dh = outputs(p, flat[some], classes.ravel()[some], part.ravel()[some] % WIDTH, slopes)
+        total += np.bincount(own[some], logs, len(docs))
+        if trainer:
+            dhs = np.zeros_like(flat)
+            dhs[some] = dh
+            backward(p, x, keep, back, dhs.reshape(hs.shape), slopes)
+            trainer.step(slopes)
+            trainer.tokens += len(some)
     return total
 
 
@@ -278,7 +306,7 @@ def train(docs: DataFrame, shape_of: tuple, scratch: Scratch) -> bytes | None:
         tokens, trainer = Tokens(shape.at), Trainer(initial(shape))
         with np.errstate(all="ignore"):
             for batch in batches:
-                for part in _slices(batch):
+                for part in _slices(batch, SLICE):
                     tokens.start_batch()
                     found = [tokens.read(t) for i, t in zip(part.column("id").to_pylist(), part.column("text").to_pylist()) if not held_out(i)]
                     walk(trainer.p, shape, found, trainer)
@@ -340,7 +368,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
         return run
 
-    rows = scratch.save(map_arrow(texts, make, "id long, d long, held_out boolean, n_tokens long, in_table long, base double, model double, tail array<long>, tail_n array<int>"), "rows")
+    rows = scratch.save(map_arrow(texts, make, "id long, d long, held_out boolean, n_tokens long, in_table long, base double, model double, tail array<long>, tail_n array<int>", slice_bytes=SLICE), "rows")
     # Rows that are alike in id and tokens add up to as many times the sum of one.
     each = rows.select("id", "d", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("id", "d", F.col("t.tail").alias("h"), F.col("t.tail_n").alias("k"))
     c = F.coalesce(F.col("n"), F.lit(0))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Stretches that a task remembers, and the longest that go in lockstep.
-CACHE = 400_000
+CACHE = 200_000
 LOCKSTEP = 48
+#: Bytes of text at a time: the stretches of a text take ten times its bytes.
+SLICE = 3 << 20
 _STRETCH = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
 
@@ -126,7 +129,7 @@ class Encoder:
 
     def forget(self):
         self.known.clear()
-        self.pool, self.starts, self.sizes, self.used = [], [], [], 0
+        self.pool, self.starts, self.sizes, self.used = array("i"), array("q"), array("i"), 0
 
     def best_paths(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """letters: code points, a row for each stretch, all of one length. For each end, the length and word (-1: unknown) of the best last piece."""
@@ -175,7 +178,7 @@ class Encoder:
             self.known[key] = len(self.starts)
             self.starts.append(self.used), self.sizes.append(len(path))
             self.used += len(path)
-            self.pool += path[::-1]
+            self.pool.extend(path[::-1])
 
     def learn(self, keys: set[str]) -> None:
         by_size: dict[int, list[str]] = {}
@@ -204,7 +207,7 @@ class Encoder:
         if len(self.known) > CACHE:
             self.forget()
         self.learn({k for p in parts for k in p}.difference(self.known))
-        pool, starts, sizes = np.array(self.pool, np.int32), np.array(self.starts, np.int64), np.array(self.sizes, np.int64)
+        pool, starts, sizes = (np.array(x, t) for x, t in ((self.pool, np.int32), (self.starts, np.int64), (self.sizes, np.int64)))
         out, known = [], self.known
         for p in parts:
             at = np.fromiter(map(known.__getitem__, p), np.int64, len(p))
@@ -235,7 +238,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
         return run
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), make, "id long, n_pieces long, n_byte_pieces long, ids array<int>, ids_sha256 string, round_trip boolean")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), make, "id long, n_pieces long, n_byte_pieces long, ids array<int>, ids_sha256 string, round_trip boolean", slice_bytes=SLICE)
 
 
 def decoded(pieces: DataFrame, id_col: str = "id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
