@@ -224,11 +224,11 @@ def _feeds(spark, sf_dir) -> DataFrame:
     return one.select("feed_url", F.concat(F.lit("<rss><channel>"), "x", F.lit("</channel></rss>")).alias("content"))
 
 
-@query(_with("select fight_id, source_id::int as source_id, case when q % 2 = 0 then w || ' beats ' || l else 'Only ' || w end as title, 'News' as summary, case when source_id = 2 then event_date + 90 else event_date + (source_id - 2)::int end as published from p"))
+@query(_with("select fight_id, source_id::int as source_id, case when q % 2 = 0 then w || ' beats ' || l else 'Only ' || w end as title, 'News' as summary, strftime(case when source_id = 2 then event_date + 90 else event_date + (source_id - 2)::int end, '%Y-%m-%d') as published from p"))
 def parsed_feeds(spark, sf_dir):
     items = parse.parse_feeds(_feeds(spark, sf_dir))
     part = lambda n: F.element_at(F.split("link", "/"), n)
-    return items.select(part(-2).cast("bigint").alias("fight_id"), part(-1).cast("int").alias("source_id"), "title", "summary", "published")
+    return items.select(part(-2).cast("bigint").alias("fight_id"), part(-1).cast("int").alias("source_id"), "title", "summary", F.date_format("published", "yyyy-MM-dd").alias("published"))
 
 
 @query(_with(f"""
@@ -309,11 +309,11 @@ def canonical_urls(spark, sf_dir):
 _FORMS = ["yyyy-MM-dd", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "d MMMM, yyyy", "EEE, d MMM yyyy HH:mm:ss 'GMT'", "yyyy-MM-dd'T'23:30:00-05:00"]
 
 
-@query("select o_orderkey, cast(o_orderdate as date) as parsed from orders")
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as parsed from orders")
 def parsed_dates(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     forms = F.array(*[F.date_format("o_orderdate", f) for f in _FORMS])
-    return orders.select("o_orderkey", web.parse_date(F.get(forms, (F.col("o_orderkey") % len(_FORMS)).cast("int"))).alias("parsed"))
+    return orders.select("o_orderkey", F.date_format(web.parse_date(F.get(forms, (F.col("o_orderkey") % len(_FORMS)).cast("int"))), "yyyy-MM-dd").alias("parsed"))
 
 
 @query(f"select fight_id, name_a as full, split_part(name_a, ' ', 1) as first, sur_a as surname from ({prose.FIGHTS_SQL})")
