@@ -41,6 +41,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark, self.at = spark, f"{shared_dir(spark)}/ringproof/{job}-{uuid.uuid4().hex}"
+        self.schemas: dict = {}
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -49,10 +50,11 @@ class Scratch:
     def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.at}/{name}")
+        self.schemas[name] = df.schema  # an empty table may leave no file to tell it
         return self.load(name)
 
     def load(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.at}/{name}")
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.at}/{name}")
 
     def drop(self, *names: str) -> None:
         for name in names:
