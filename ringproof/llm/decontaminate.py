@@ -8,11 +8,14 @@
 3. Every document's windows (PASSAGE words, half overlapping, so that whole texts are covered) are projected and
    compared with all benchmark passages by cosine (the window's full weight in the denominator). Windows whose words of
    the benchmark carry too small a share of their weight cannot reach the cosine and are passed over.
-4. A candidate counts if the longest common subsequence of the item's words and the words around the window covers
+4. A text that shares a run of GRAM words with an item (SHORT_GRAM words if the item has at most SHORT words) is a
+   candidate whatever its cosine and weights. A copy with edits in at most a fifth of the item's words keeps such a run.
+5. A candidate counts if the longest common subsequence of the item's words and the words around the window covers
    LCS_SHARE of the item, or PARAPHRASE_SHARE with ANSWER_SHARE of its answer. The answer is what follows the last
    question mark or "answer:", else the last fifth of the words.
 
-The benchmark is taken in blocks of BLOCK items, each against all documents.
+The benchmark is taken in blocks of BLOCK items, each against all documents. The passages of a block are taken in parts of
+at most RANK, each with an SVD of its own: this is exact, so that no passage loses cosine to the others.
 
 Defined results: null or empty texts and items match nothing; equal items all match; rows that repeat a doc_id give one
 row per doc_id and item, the best; null doc_ids are kept as null.
@@ -37,6 +40,12 @@ COSINE = 0.35
 LCS_SHARE = 0.8
 PARAPHRASE_SHARE, ANSWER_SHARE = 0.6, 0.8
 BLOCK = 1024
+#: Words of a run that makes a candidate, and of one of items with at most SHORT words (an item of one word has none).
+GRAM, SHORT_GRAM, SHORT = 3, 2, 5
+#: Runs are looked up by this many bits of their hash first.
+GRAM_BITS = 20
+#: Odd multipliers (fixed values).
+_MIXERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 CACHE = 400_000
 #: Bytes: A-Z lower-cased, ASCII punctuation made spaces.
 _FOLD = bytes(32 if 33 <= i <= 47 or 58 <= i <= 64 or 91 <= i <= 96 or 123 <= i <= 126 else i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -162,62 +171,124 @@ def answer_of(text: str | None, words: Words) -> list[bytes]:
     return found if 0 < len(found) < len(every) else every[-max(3, len(every) // 5) :]
 
 
-class Block:
-    """A block of benchmark items, ready to search: bounded by BLOCK items and BUCKETS words."""
+def runs(ids: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of width words."""
+    n = max(0, len(ids) - width + 1)
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            out += (ids[k : k + n].astype(np.uint64) + np.uint64(1)) * np.uint64(_MIXERS[k])
+        return out * np.uint64(_MIXERS[0])
 
-    def __init__(self, items: list[tuple[int, str]], weight: np.ndarray, svd: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        words = Words()
-        self.weight = weight.astype(np.float32)
+
+class Part:
+    """At most RANK passages and their exact SVD. owner: the item of each."""
+
+    def __init__(self, passages: list[tuple[int, np.ndarray]], weight: np.ndarray, svd: tuple[np.ndarray, np.ndarray, np.ndarray]):
         self.buckets, basis, _ = svd
         self.basis = np.zeros((len(self.buckets) + 1, basis.shape[1]), np.float32)
         self.basis[:-1] = basis
-        self.items = [(i, w, answer_of(t, words)) for i, t in items if (w := words.split(t))]
         self.owner, rows = [], []
-        for k, (_, w, _) in enumerate(self.items):
-            for p in passage_starts(len(w), PASSAGE):
-                ids = words.ids(w[p : p + PASSAGE])
-                at = np.minimum(np.searchsorted(self.buckets, ids), max(len(self.buckets) - 1, 0))
-                at = np.where(self.buckets[at] == ids, at, len(self.buckets)) if len(self.buckets) else np.full(len(ids), 0)
-                v = (self.basis[at] * self.weight[ids][:, None]).sum(axis=0)
-                if (size := self.norm(ids)) > 0:
-                    rows.append(v / size)
-                    self.owner.append(k)
+        for k, ids in passages:
+            at = np.minimum(np.searchsorted(self.buckets, ids), max(len(self.buckets) - 1, 0))
+            at = np.where(self.buckets[at] == ids, at, len(self.buckets)) if len(self.buckets) else np.full(len(ids), 0)
+            v = (self.basis[at] * weight[ids][:, None]).sum(axis=0)
+            if (size := norm(ids, weight)) > 0:
+                rows.append(v / size)
+                self.owner.append(k)
         self.rows = np.array(rows, np.float32).reshape(len(rows), self.basis.shape[1])
 
-    def norm(self, ids: np.ndarray) -> float:
-        own, n = np.unique(ids, return_counts=True)
-        return float(np.sqrt(((self.weight[own] * n) ** 2).sum()))
+
+def norm(ids: np.ndarray, weight: np.ndarray) -> float:
+    own, n = np.unique(ids, return_counts=True)
+    return float(np.sqrt(((weight[own] * n) ** 2).sum()))
+
+
+class Block:
+    """A block of benchmark items, ready to search: bounded by BLOCK items and BUCKETS words.
+
+    svds: of each RANK passages, in the order of the items."""
+
+    def __init__(self, items: list[tuple[int, str]], weight: np.ndarray, svds: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        words = Words()
+        self.weight = weight.astype(np.float32)
+        self.items = [(i, w, answer_of(t, words)) for i, t in items if (w := words.split(t))]
+        self.ids = [words.ids(w) for _, w, _ in self.items]
+        passages = [(k, self.ids[k][p : p + PASSAGE]) for k, (_, w, _) in enumerate(self.items) for p in passage_starts(len(w), PASSAGE)]
+        self.parts = [Part(passages[j * RANK : (j + 1) * RANK], self.weight, svd) for j, svd in enumerate(svds)]
+        # Of each width: which hashes there may be, and the items of each hash.
+        self.grams = []
+        for width in (GRAM, SHORT_GRAM):
+            owners: dict[int, list[int]] = {}
+            for k, ids in enumerate(self.ids):
+                if width == (GRAM if len(ids) > SHORT else SHORT_GRAM):
+                    for h in np.unique(runs(ids, width)).tolist():
+                        owners.setdefault(h, []).append(k)
+            if owners:
+                flags = np.zeros(1 << GRAM_BITS, bool)
+                flags[np.array(list(owners), np.uint64) >> np.uint64(64 - GRAM_BITS)] = True
+                self.grams.append((width, flags, owners))
+
+    def judge(self, k: int, near: list[bytes]) -> tuple[float, float] | None:
+        """(share of the item, share of its answer), if the words hold the item."""
+        _, item, answer = self.items[k]
+        share = lcs(item, near) / len(item)
+        if share < PARAPHRASE_SHARE:
+            return None
+        reply = lcs(answer, near) / len(answer)
+        return (share, reply) if share >= LCS_SHARE or reply >= ANSWER_SHARE else None
+
+    def cosine(self, a: np.ndarray, b: np.ndarray) -> float:
+        size = norm(a, self.weight) * norm(b, self.weight)
+        (x, n), (y, m) = (np.unique(i, return_counts=True) for i in (a, b))
+        both, i, j = np.intersect1d(x, y, True, True)
+        return float((self.weight[both] ** 2 * n[i] * m[j]).sum() / size) if size else 0.0
 
     def search(self, found_words: list[bytes], ids: np.ndarray) -> dict[int, tuple[float, float, float]]:
-        """item: (cosine, share of the item, share of its answer), of the items in the text."""
-        n = len(ids)
-        if not n or not len(self.rows):
-            return {}
-        w = self.weight[ids]
-        at = np.minimum(np.searchsorted(self.buckets, ids), len(self.buckets) - 1)
-        inside = (self.buckets[at] == ids) & (w > 0)
+        """item: (share of the item, share of its answer, cosine), of the items in the text."""
+        best: dict[int, tuple[float, float, float]] = {}
+        if len(ids):
+            for part in self.parts:
+                if len(part.rows):
+                    self.by_cosine(part, found_words, ids, best)
+            self.by_runs(found_words, ids, best)
+        return best
+
+    def by_runs(self, found_words: list[bytes], ids: np.ndarray, best: dict) -> None:
+        for width, flags, owners in self.grams:
+            hashes, reached = runs(ids, width), {}
+            for p in np.flatnonzero(flags[hashes >> np.uint64(64 - GRAM_BITS)]).tolist():
+                for k in owners.get(int(hashes[p]), ()):
+                    n = len(self.ids[k])
+                    if p <= reached.get(k, -1):
+                        continue
+                    # The runs of the next n words are judged with this one.
+                    reached[k] = p + n
+                    a, b = max(0, p - 2 * n), p + 3 * n + width
+                    if got := self.judge(k, found_words[a:b]):
+                        best[k] = max(best.get(k, (0.0, 0.0, 0.0)), (*got, self.cosine(self.ids[k], ids[p : p + n])))
+
+    def by_cosine(self, part: Part, found_words: list[bytes], ids: np.ndarray, best: dict) -> None:
+        n, w = len(ids), self.weight[ids]
+        at = np.minimum(np.searchsorted(part.buckets, ids), len(part.buckets) - 1)
+        inside = (part.buckets[at] == ids) & (w > 0)
         starts = np.array(passage_starts(n, PASSAGE // 2))
         ends = np.minimum(starts + PASSAGE, n)
         energy = np.concatenate((np.zeros((2, 1)), np.cumsum(np.stack((w * w, w * w * inside)), axis=1, dtype=np.float64)), axis=1)
         whole, own = energy[:, ends] - energy[:, starts]
         live = np.flatnonzero((own > 0) & (own >= COSINE**2 * whole))
-        best: dict[int, tuple[float, float, float]] = {}
         for s, e, size in zip(starts[live].tolist(), ends[live].tolist(), np.sqrt(whole[live]).tolist()):
             some = s + np.flatnonzero(inside[s:e])
             # The sum over words as they stand is a lower bound of the norm.
-            cosines = self.rows @ (w[some] @ self.basis[at[some]]) / size
+            cosines = part.rows @ (w[some] @ part.basis[at[some]]) / size
             if cosines.max() < COSINE:
                 continue
-            cosines *= size / self.norm(ids[s:e])
+            cosines *= size / norm(ids[s:e], self.weight)
             for p in np.flatnonzero(cosines >= COSINE).tolist():
-                k = self.owner[p]
-                _, item, answer = self.items[k]
-                near = found_words[max(0, s - len(item)) : e + len(item)]
-                share = lcs(item, near) / len(item)
-                reply = lcs(answer, near) / len(answer)
-                if share >= LCS_SHARE or share >= PARAPHRASE_SHARE and reply >= ANSWER_SHARE:
-                    best[k] = max(best.get(k, (0.0, 0.0, 0.0)), (share, reply, float(cosines[p])))
-        return best
+                k = part.owner[p]
+                size_k = len(self.ids[k])
+                if got := self.judge(k, found_words[max(0, s - size_k) : e + size_k]):
+                    best[k] = max(best.get(k, (0.0, 0.0, 0.0)), (*got, float(cosines[p])))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -231,22 +302,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         words = Words()
 
         def run(rows):
-            ids, weights = [], []
-            for text in rows["text"]:
+            ids, weights, part = [], [], []
+            for text, first in zip(rows["text"], rows["first"]):
                 w = words.split(text)
-                for p in passage_starts(len(w), PASSAGE) if w else ():
+                for j, p in enumerate(passage_starts(len(w), PASSAGE)):
+                    part.append((first + j) // RANK)
                     own, n = np.unique(words.ids(w[p : p + PASSAGE]), return_counts=True)
                     some = weight[own] > 0
                     ids.append(own[some].astype(np.int32)), weights.append((weight[own] * n)[some])
-            return {"ids": ids, "weights": weights}
+            return {"part": part, "ids": ids, "weights": weights}
 
         return run
 
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        rows = scratch.save(map_arrow(block.select("text"), passages, "ids array<int>, weights array<double>"), f"passages-{b}")
-        got = [(r["item_id"], r["text"]) for r in block.collect()]  # about BLOCK items
-        shared = spark.sparkContext.broadcast((sorted(got, key=str), weight, randomised_svd(rows, max(1, rows.count()))))
+        got = sorted(((r["item_id"], r["text"]) for r in block.collect()), key=str)  # about BLOCK items
+        placed, n = [], 0
+        for _, text in got:
+            if size := len(Words().split(text)):
+                placed.append((text, n))
+                n += len(passage_starts(size, PASSAGE))
+        rows = scratch.save(map_arrow(spark.createDataFrame(placed, "text string, first long"), passages, "part long, ids array<int>, weights array<double>"), f"passages-{b}")
+        svds = [randomised_svd(rows.where(F.col("part") == j), min(RANK, n - j * RANK)) for j in range(-(-n // RANK))]
+        shared = spark.sparkContext.broadcast((got, weight, svds))
 
         def search(shared=shared):
             words, block = Words(), Block(*shared.value)
