@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words over all documents give TF-IDF weights; words in over STOP_SHARE of the
-   documents weigh nothing.
+   documents weigh STOP_WEIGHT times as much, and none weighs nothing: an item's words stay searchable however many
+   copies of it there are.
 2. The benchmark's passages (PASSAGE words) form a TF-IDF matrix. Its randomised SVD runs on Spark: tasks multiply
    their rows with random signs, Gram matrices are summed, and the projected matrix is summed per word; only matrices
    of the rank's size and the table of the benchmark's words reach the driver, both bounded.
@@ -35,7 +36,7 @@ BUCKETS = 1 << 17
 PASSAGE = 48
 RANK = 256
 OVERSAMPLE = 16
-STOP_SHARE = 0.1
+STOP_SHARE, STOP_WEIGHT, LEAST_WEIGHT = 0.1, 0.25, 1e-3
 COSINE = 0.35
 LCS_SHARE = 0.8
 PARAPHRASE_SHARE, ANSWER_SHARE = 0.6, 0.8
@@ -89,8 +90,8 @@ def word_weights(docs: DataFrame) -> np.ndarray:
         df[r["bucket"]] = r["n"]  # the last is the number of documents
     total = max(df[-1], 1.0)
     weight = np.log((total + 1) / (df[:-1] + 1))
-    weight[df[:-1] > STOP_SHARE * total] = 0
-    return weight
+    weight[df[:-1] > STOP_SHARE * total] *= STOP_WEIGHT
+    return np.maximum(weight, LEAST_WEIGHT)
 
 
 def passage_starts(n: int, step: int) -> list[int]:

@@ -16,3 +16,16 @@ def test_large_benchmark_loses_no_copy(spark):
     join = lambda rows, *names: spark.createDataFrame([(i, " ".join(ws)) for i, ws in rows.items()], f"{names[0]} long, text string")
     got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(join(docs, "doc_id"), join(items, "item_id")).collect()}
     assert got == want
+
+
+def test_item_in_most_documents_is_found(spark):
+    """Half the documents hold the item, so that each of its words is frequent; one holds it as a paraphrase without a run of three words."""
+    r = random.Random(6)
+    item = " ".join(f"q{k}" for k in range(30))
+    other = lambda n: " ".join(f"v{r.randrange(900)}" for _ in range(n))
+    docs = [(i, f"{other(40)} {item} {other(40)}" if i % 2 else other(80)) for i in range(60)]
+    docs.append((60, " ".join(f"q{k} q{k + 1} q{k}" for k in range(0, 30, 2))))
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {x.doc_id for x in found.collect()} == {i for i in range(60) if i % 2} | {60}
+    weight = decontaminate.word_weights(spark.createDataFrame([(item,)] * 3, "text string"))
+    assert (weight > 0).all()
