@@ -9,8 +9,9 @@ they find is mapped back to source characters. Three transducers, each over the
 2. spelled digits ("five", "fünf", "cinq", "cinco", "double two") in runs become digits, "plus" before them `+`;
 3. "at" and "dot" in brackets, or as words between the parts of an address, become `@` and `.`.
 
-An added span counts only if its source holds a disguise and it doesn't touch a base span. Texts without any trigger
-take no transducer. Whole texts are read.
+An added span counts only if its source holds a disguise and it either touches no base span or strictly contains every
+one that it touches (these stay base spans, too). Texts without any trigger take no transducer; triggers are looser than
+the transducers. Whole texts are read.
 
 Defined results: a null or empty text has no spans; offsets are code points, end exclusive; rows that repeat a doc_id
 keep a row each.
@@ -47,27 +48,31 @@ _DIGITS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _TIMES = {"double": 2, "triple": 3, "doppel": 2}
-#: A spelled run shorter than this stays as it is: a few number words in a row are prose.
+#: A run that spells fewer digits stays as it is: a few number words in a row are prose.
 LEAST_RUN = 4
 #: And so does one of fewer different digits: a repeated word.
 LEAST_KINDS = 3
 _ONE = r"(?:(?:double|triple|doppel)[\s-]+)?(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + r"|[0-9])"
-_RUN = re.compile(rf"(?<![\w])(?:plus[\s-]+)?{_ONE}(?:[\s,.·/-]+{_ONE}){{{LEAST_RUN - 1},}}(?!\w)", re.I)
+_RUN = re.compile(rf"(?<![\w])(?:plus[\s-]+)?{_ONE}(?:[\s,.·/-]+{_ONE})+(?!\w)", re.I)
 _SPELLED = re.compile(r"\w+", re.I)
 _AT = r"(?:[\[({<]\s*(?:at|@|ät|arroba|arobase)\s*[\])}>]|\s+(?:at|arroba|arobase|klammeraffe)\s+)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+)"
 #: An address whose separators are disguised: local part, at, labels with at least one dot. A plain "at" needs a disguised dot.
 _ADDRESS = re.compile(
     rf"(?P<local>[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*)(?P<at>\s*{_AT}\s*|\s*@\s*)(?P<host>[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+)", re.I)
-_BRACKETED_AT = re.compile(r"[\[({<]\s*(?:at|@|ät|arroba|arobase)\s*[\])}>]", re.I)
+#: What the transducers need at least: an at or a dot in brackets, an @ beside white space.
+_SIGNS = re.compile(r"[\[({<]\s*(?:at|@|ät|arroba|arobase|dot|\.|punkt|punto|point)\s*[\])}>]|\s@|@\s", re.I)
 _DISGUISED_DOT = re.compile(_DOT, re.I)
 _NUMBERED = re.compile(rf"[0-9]+(?:{_DOT}[0-9]+){{3}}", re.I)
 #: Words that no address has right after a plain "at".
 _NO_HOST = frozenset("the a an this that these those my our your his her its their".split())
 _DOTS = frozenset((b"dot", b"punkt", b"punto", b"point"))
-_DIGIT_WORDS = frozenset(w.encode() for w in _DIGITS)
-#: Bytes: A-Z lower-cased, and what may stand around a word made a space.
-_TOKENS = bytes(32 if chr(i) in ",./-[](){}<>" else i + 32 if 65 <= i <= 90 else i for i in range(256))
+#: The words that are digits or repeat one, as bytes of UTF-8, and how many digits each adds.
+_WORTH = {w.encode(): 1 for w in _DIGITS} | {w.encode(): n - 1 for w, n in _TIMES.items()}
+#: Bytes: A-Z lower-cased, and what isn't a letter, a digit, an underscore or beyond ASCII made a space.
+_TOKENS = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or i == 95 or 97 <= i <= 122 or i > 127 else 32 for i in range(256))
+#: White space and the middle dot beyond ASCII, which part words as well.
+_PARTS = re.compile(r"[·\s]")
 
 
 def luhn(digits: str) -> bool:
@@ -149,7 +154,7 @@ def spelled_digits(text: Mapped) -> Mapped:
                 times = _TIMES[w]
             elif w != "plus":
                 digits += _DIGITS.get(w, w) * times
-                times, spelled = 1, spelled + (w in _DIGITS)
+                times, spelled = 1, spelled + times * (w in _DIGITS)
         if spelled >= LEAST_RUN and len(set(digits)) >= LEAST_KINDS:
             edits.append((*m.span(), "+" * m[0].lower().startswith("plus") + digits))
     return text.rewrite(edits)
@@ -160,9 +165,10 @@ def separators(text: Mapped) -> Mapped:
     for m in _ADDRESS.finditer(text.text):
         plain_at = re.fullmatch(r"\s+\w+\s+", m["at"]) is not None
         dots = [d.span() for d in _DISGUISED_DOT.finditer(text.text, *m.span("host"))]
-        if plain_at and (not dots or re.split(r"[^a-z0-9]", m["host"].lower())[0] in _NO_HOST) or "@" in m["at"] and not dots and m["at"].strip() == "@" and m["at"] == "@":
+        own = [d.span() for d in _DISGUISED_DOT.finditer(text.text, *m.span("local"))]
+        if plain_at and (not dots or re.split(r"[^a-z0-9]", m["host"].lower())[0] in _NO_HOST) or m["at"] == "@" and not dots and not own:
             continue  # prose, or a plain address
-        edits += [(*d.span(), ".") for d in _DISGUISED_DOT.finditer(text.text, *m.span("local"))] + [(*m.span("at"), "@")] + [(*d, ".") for d in dots]
+        edits += [(*d, ".") for d in own] + [(*m.span("at"), "@")] * (m["at"] != "@") + [(*d, ".") for d in dots]
     taken = {i for a, b, _ in edits for i in range(a, b)}
     for m in _NUMBERED.finditer(text.text):
         edits += [(*d.span(), ".") for d in _DISGUISED_DOT.finditer(text.text, *m.span()) if d.start() not in taken]
@@ -172,11 +178,12 @@ def separators(text: Mapped) -> Mapped:
 def _triggers(text: str) -> bool:
     if not text.isascii() and any(_ascii_of(c) is not None for c in set(text) if c > "\x7f"):
         return True
-    data = text.encode("utf-8", "surrogatepass")
-    if b"@" in data and b" @ " in data or any(b in data for b in (b"[", b"(", b"{", b"<")) and _BRACKETED_AT.search(text):
+    if any(c in text for c in "@[({<") and _SIGNS.search(text):
         return True
-    tokens = data.translate(_TOKENS).split()
-    return not _DOTS.isdisjoint(tokens) or sum(map(_DIGIT_WORDS.__contains__, tokens)) >= LEAST_RUN
+    if not text.isascii():
+        text = _PARTS.sub(" ", text).lower()
+    tokens = text.encode("utf-8", "surrogatepass").translate(_TOKENS).split()
+    return not _DOTS.isdisjoint(tokens) or sum(_WORTH[t] for t in tokens if t in _WORTH) >= LEAST_RUN
 
 
 def spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -196,7 +203,8 @@ def spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     added = []
     for kind, a, b in found:
         s, e = plain.start[a], plain.end[b - 1]
-        if not any(x < e and s < y for _, x, y in base) and not any(x < e and s < y for _, x, y in added):
+        within = all(s <= x and y <= e and (s, e) != (x, y) for _, x, y in base if x < e and s < y)
+        if within and not any(x < e and s < y for _, x, y in added):
             added.append((kind, s, e))
     return base, sorted(added, key=lambda x: (KINDS.index(x[0]), x[1]))
 

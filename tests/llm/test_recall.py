@@ -1,7 +1,9 @@
 """Recall of the training-data operators against brute force."""
 import random
 
-from ringproof.llm import decontaminate
+import pytest
+
+from ringproof.llm import decontaminate, pii
 
 
 def test_large_benchmark_loses_no_copy(spark):
@@ -29,3 +31,28 @@ def test_item_in_most_documents_is_found(spark):
     assert {x.doc_id for x in found.collect()} == {i for i in range(60) if i % 2} | {60}
     weight = decontaminate.word_weights(spark.createDataFrame([(item,)] * 3, "text string"))
     assert (weight > 0).all()
+
+
+@pytest.mark.parametrize(
+    "text, kind, part",
+    [
+        ("host 192[.]168[.]1[.]1 is up", "ip", "192[.]168[.]1[.]1"),
+        ("write to ann@site(.)org today", "email", "ann@site(.)org"),
+        ("write to ann @site.org today", "email", "ann @site.org"),
+        ("write to ann@ site.org today", "email", "ann@ site.org"),
+        ("write to ann\n@\nsite.org today", "email", "ann\n@\nsite.org"),
+        ("one·two·three·four·five·six·seven·eight·nine·zero", "phone", "one·two·three·four·five·six·seven·eight·nine·zero"),
+        ("triple one triple two triple three one", "phone", "triple one triple two triple three one"),
+        ("triple three triple five quatuple, double six triple five triple one double six", "phone", "double six triple five triple one double six"),
+        ("mail j\u043ehn@example.com now", "email", "j\u043ehn@example.com"),
+        ("mail john dot smith@example.com now", "email", "john dot smith@example.com"),
+    ],
+)
+def test_disguise_alone_in_a_text(text, kind, part):
+    base, added = pii.spans(text)
+    assert (kind, part) in [(k, text[a:b]) for k, a, b in added]
+    assert base == pii.find(text)
+
+
+def test_plain_address_is_no_disguise():
+    assert pii.spans("mail john@example.com at noon. One two three and the rest (done).")[1] == []
