@@ -30,13 +30,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates (shingle similarity of about 0.8 or more, by 256 bits) the document of the smallest id stays, of its repeated rows one.
+    """Of each class of near duplicates (similarity of the sets of shingles of 0.8 or more, found by 256 bits and tested on the shingles) the document of the smallest id stays, of its repeated rows one.
 
     Documents without a word are no copies of each other: all stay."""
     scratch = Scratch(spark, "pipeline-simhash")
     prints = scratch.save(simhash.fingerprints(docs, width=SHINGLE, wide=True), "prints")
-    known = prints.where("fp <> 0")
-    classes = scratch.save(simhash.classes(scratch.save(known, "known"), scratch, simhash.WIDE_FIRST, wide_radius=simhash.WIDE_RADIUS).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct(), "kept")
+    known = scratch.save(prints.where("fp <> 0"), "known")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    classes = scratch.save(simhash.similar_classes(known, texts, scratch, SHINGLE).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct(), "kept")
     wordless = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
     lone = docs.where(F.col("doc_id").isNull() | wordless)
     rest = docs.where(F.col("doc_id").isNotNull() & ~wordless)

@@ -33,10 +33,15 @@ TILE = 16_384
 STRIDE = 1_000_000_000
 #: Pairs that are compared at a time.
 BLOCK = 1 << 17
-#: Of 256 bits: those that may differ. Fingerprints of texts with a shingle similarity (Jaccard) of 0.8 differ in about 39.
-WIDE_RADIUS = 40
-#: And of the first 64, which select the candidates.
-WIDE_FIRST = 14
+#: Of 256 bits: those that may differ in a candidate. Fingerprints of shingle sets with a similarity (Jaccard) of 0.8
+#: differ in about 39, in 48 at most (of five shingles four in common), with a deviation of 6.
+WIDE_RADIUS = 72
+#: And of the first 64 (12 at most, with a deviation of 3).
+WIDE_FIRST = 22
+#: Candidates are links if their sets of shingles have this similarity.
+SIMILAR = 0.8
+#: Members of a group of candidates that are compared with as many others in a task.
+CHUNK = 2048
 #: Odd multipliers (fixed values).
 _MIXERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 _UPPER = bytes(range(65, 91))
@@ -73,18 +78,21 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, wide: bool = False) -> DataFrame:
-    """id, fp (the fingerprint's bits as a long), more (wide: 192 bits more, of the hashes mixed anew), node (what tells fingerprints apart)."""
+    """id, fp (the fingerprint's bits as a long), more (wide: 192 bits more, of the hashes mixed anew), node (what tells fingerprints apart).
+
+    wide: of the distinct shingles, so that the bits stand for the similarity of sets; node tells the sets apart."""
 
     def make():
         def run(rows):
-            hashes = [shingle_hashes(t, width) for t in rows["text"]]
+            hashes = [np.unique(shingle_hashes(t, width)) if wide else shingle_hashes(t, width) for t in rows["text"]]
             more = [[_signed(fingerprint(_mixed(h, k))) for k in _MIXERS] if wide else [] for h in hashes]
-            return {"id": rows["id"], "fp": [_signed(fingerprint(h)) for h in hashes], "more": more}
+            fps = [_signed(fingerprint(h)) for h in hashes]
+            node = [_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)) for h in hashes] if wide else fps
+            return {"id": rows["id"], "fp": fps, "more": more, "node": node}
 
         return run
 
-    out = map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), make, "id long, fp long, more array<long>")
-    return out.withColumn("node", F.xxhash64("fp", "more") if wide else F.col("fp"))
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), make, "id long, fp long, more array<long>, node long")
 
 
 def _mixed(x: np.ndarray, k: int) -> np.ndarray:
@@ -194,6 +202,84 @@ def classes(prints: DataFrame, scratch: Scratch, radius: int = RADIUS, tile: int
     return rooted.join(smallest, "root").select("node", "component_id")
 
 
+def similar_classes(prints: DataFrame, texts: DataFrame, scratch: Scratch, width: int, tile: int = TILE) -> DataFrame:
+    """node, component_id: components over the pairs of texts whose sets of shingles have a similarity of SIMILAR or more.
+
+    prints: as fingerprints gives with wide, a written table. texts: id, text, an id for each row of prints.
+
+    Fingerprints give candidates, of which each link is tested on the shingles. A forest of the candidates is tested
+    first. Where all of a group's edges hold, its members are one class; in the other groups all candidates between
+    classes are tested, in chunks, so that no group is gathered."""
+    distinct = scratch.save(prints.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("more").alias("more")), "distinct")
+    edges = scratch.save(links(distinct.select("fp", "more", "node"), WIDE_FIRST, tile, WIDE_RADIUS).where("a <> b").distinct(), "candidates")
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().join(distinct.select("node", "least"), "node")
+    shingles = scratch.save(_shingles(ends.join(texts, F.col("least") == F.col("id")).select("node", "text"), width), "shingles")
+    held = scratch.save(_similar(edges, shingles), "held")
+    groups = scratch.save(components(edges, scratch), "groups")
+    held_roots = scratch.save(_rooted(components(held, _within(scratch, "held")), distinct), "held-roots")
+    # Groups with an edge that doesn't hold.
+    open_groups = edges.join(held, ["a", "b"], "left_anti").join(groups, F.col("a") == groups["node"]).select("root").distinct()
+    members = scratch.save(groups.join(open_groups, "root", "left_semi").join(held_roots.withColumnRenamed("root", "own"), "node").join(distinct.select("node", "fp", "more"), "node"), "open")
+    counts = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n"))
+    dealt = members.join(counts, "root").withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("n") - 1)
+    left = dealt.select("root", F.col("c").alias("i"), F.explode(others).alias("j"), F.col("node").alias("a"), F.col("own").alias("own_a"), F.col("fp").alias("fp_a"), F.col("more").alias("more_a"))
+    right = dealt.select("root", F.explode(others).alias("i"), F.col("c").alias("j"), F.col("node").alias("b"), F.col("own").alias("own_b"), F.col("fp").alias("fp_b"), F.col("more").alias("more_b"))
+    first = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
+    whole = sum((F.bit_count(F.col("more_a")[k].bitwiseXOR(F.col("more_b")[k])) for k in range(len(_MIXERS))), first)
+    pairs = left.join(right, ["root", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("own_a") != F.col("own_b")) & (first <= WIDE_FIRST) & (whole <= WIDE_RADIUS)).select("a", "b")
+    more = scratch.save(_similar(pairs, shingles), "more")
+    if more.isEmpty():
+        rooted = held_roots
+    else:
+        rooted = scratch.save(_rooted(components(held.union(more), _within(scratch, "all")), distinct), "all-roots")
+    rooted = distinct.select("node", "least").join(rooted, "node")
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+
+
+def _within(scratch: Scratch, job: str) -> Scratch:
+    return Scratch(scratch.spark, f"simhash-{job}")
+
+
+def _rooted(roots: DataFrame, distinct: DataFrame) -> DataFrame:
+    """node, root of every node: its own if it has no edge."""
+    return distinct.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def _shingles(texts: DataFrame, width: int) -> DataFrame:
+    """node, set (the distinct hashes, ascending, eight bytes each)."""
+
+    def make():
+        def run(rows):
+            return {"node": rows["node"], "set": [np.unique(shingle_hashes(t, width)).tobytes() for t in rows["text"]]}
+
+        return run
+
+    return map_arrow(texts, make, "node long, set binary")
+
+
+def _similar(edges: DataFrame, shingles: DataFrame) -> DataFrame:
+    """a, b: of the edges those whose ends are similar."""
+    both = edges.join(shingles.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(shingles.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+
+    def make():
+        def run(rows):
+            keep = [k for k, (x, y) in enumerate(zip(rows["x"], rows["y"])) if jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= SIMILAR]
+            return {c: [rows[c][k] for k in keep] for c in ("a", "b")}
+
+        return run
+
+    return map_arrow(both.select("a", "b", "x", "y"), make, "a long, b long")
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of sets, ascending."""
+    if min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
+        return 0.0  # below SIMILAR
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(len(x) + len(y) - both, 1)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = WIDTH, tile: int = TILE) -> DataFrame:
     """id, fp, node, component_id: a row for each row of docs."""
     scratch = Scratch(docs.sparkSession, "simhash")

@@ -56,3 +56,30 @@ def test_disguise_alone_in_a_text(text, kind, part):
 
 def test_plain_address_is_no_disguise():
     assert pii.spans("mail john@example.com at noon. One two three and the rest (done).")[1] == []
+
+
+def test_near_duplicates_against_brute_force(spark):
+    """Variants with similarities from 0.7 to 0.9, and a text with one shingle many times."""
+    import corpus_pipeline
+
+    r = random.Random(7)
+    text = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    docs = []
+    for n in [12, 24, 48, 90] * 8:
+        base = text(n)
+        docs.append(base)
+        for share in (0.9, 0.86, 0.82, 0.8, 0.78, 0.74, 0.7):
+            # A changed tail of k words: m - k shingles of m + k are common.
+            k = round((n - 4) * (1 - share) / (1 + share))
+            docs.append(base[: n - k] + text(k))
+    docs += [["word"] * 300 + text(20), ["word"] * 300]
+    sets = [{tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} for ws in docs]
+    root = list(range(len(docs)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if p in (a, b) else p for p in root]
+    rows = [(i, " ".join(ws)) for i, ws in enumerate(docs)]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {x.doc_id for x in out.collect()} == set(root)
