@@ -16,6 +16,16 @@ from ringproof.llm.common import Scratch, join_sized, table
 
 #: Words of a shingle.
 SHINGLE = 5
+#: The digest of a row's text, by which stages decide: ids may be null or repeat.
+KEY = "_text_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.xxhash64("text"))
+
+
+def _wordless():
+    return F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
 
 
 def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,19 +44,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents without a word are no copies of each other: all stay."""
     scratch = Scratch(spark, "pipeline-simhash")
-    prints = scratch.save(simhash.fingerprints(docs, width=SHINGLE, wide=True), "prints")
-    known = scratch.save(prints.where("fp <> 0"), "known")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    classes = scratch.save(simhash.similar_classes(known, texts, scratch, SHINGLE).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct(), "kept")
-    wordless = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
-    lone = docs.where(F.col("doc_id").isNull() | wordless)
-    rest = docs.where(F.col("doc_id").isNotNull() & ~wordless)
-    return join_sized(rest, classes, ["doc_id"], "left_semi").select(docs.columns).dropDuplicates(["doc_id"]).unionByName(lone)
+    keyed = _keyed(docs)
+    worded = keyed.where(~_wordless())
+    distinct = worded.groupBy(KEY).agg(F.first("text").alias("text"))
+    known = scratch.save(simhash.fingerprints(distinct, KEY, width=SHINGLE, wide=True), "prints")
+    texts = distinct.select(F.col(KEY).alias("id"), "text")
+    found = simhash.similar_classes(known, texts, scratch, SHINGLE)
+    classes = scratch.save(known.join(found, "node").select(F.col("id").alias(KEY), "component_id"), "classes")
+    # Of each text the row of the smallest id, then of each class the text of the smallest id; null ids come last.
+    least = worded.groupBy(KEY).agg(F.min("doc_id").alias("doc_id")).join(classes, KEY)
+    first = least.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)).alias("f"))
+    stay = scratch.save(first.select(F.col(f"f.{KEY}").alias(KEY), F.col("f.doc_id").alias("_least")), "kept")
+    rows = join_sized(worded, stay, [KEY], "inner").where(F.col("doc_id").eqNullSafe(F.col("_least")))
+    return rows.dropDuplicates([KEY]).select(docs.columns).unionByName(docs.where(_wordless()))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminate.apply(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+    return decontaminate.apply(_keyed(docs), table(spark, sf_dir, "benchmark"), KEY).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

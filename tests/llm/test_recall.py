@@ -83,3 +83,18 @@ def test_near_duplicates_against_brute_force(spark):
     rows = [(i, " ".join(ws)) for i, ws in enumerate(docs)]
     out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert {x.doc_id for x in out.collect()} == set(root)
+
+
+def test_null_and_repeated_ids_are_judged_by_text(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    text = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    a, b, c, item = text(40), text(40), text(40), text(30)
+    rows = [(None, a), (None, a), (None, b), (3, b), (4, b), (7, a + " tail"), (9, text(40)), (9, c), (9, c), (None, ""), (11, " "), (11, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [(x.doc_id, x.text) for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(left, key=str) == sorted([(7, a + " tail"), (3, b), rows[6], (9, c), *rows[9:]], key=str)
+    leaky = spark.createDataFrame([(None, f"{a} {item}"), (None, a), (5, f"{b} {item}"), (5, c)], "doc_id long, text string")
+    clean = corpus_pipeline.decontaminate.apply(corpus_pipeline._keyed(leaky), spark.createDataFrame([(1, item)], "item_id long, text string"), corpus_pipeline.KEY)
+    assert {(x.doc_id, x.text) for x in clean.collect()} == {(None, a), (5, c)}
