@@ -1,31 +1,35 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of hashed words over all documents give TF-IDF weights; words in over STOP_SHARE of the
-   documents weigh STOP_WEIGHT times as much, and none weighs nothing: an item's words stay searchable however many
-   copies of it there are.
-2. The benchmark's passages (PASSAGE words) form a TF-IDF matrix. Its randomised SVD runs on Spark: tasks multiply
-   their rows with random signs, Gram matrices are summed, and the projected matrix is summed per word; only matrices
-   of the rank's size and the table of the benchmark's words reach the driver, both bounded.
-3. Every document's windows (PASSAGE words, half overlapping, so that whole texts are covered) are projected and
-   compared with all benchmark passages by cosine (the window's full weight in the denominator). Windows whose words of
-   the benchmark carry too small a share of their weight cannot reach the cosine and are passed over.
-4. A text that shares a run of GRAM words with an item (SHORT_GRAM words if the item has at most SHORT words) is a
+1. Every text is read once: its words become 32-bit hashes in a written table, from which all later steps read.
+2. Document frequencies of hashed words over all documents give TF-IDF weights, 1 + log((N + 1) / (df + 1)): none is
+   zero, so an item's words stay searchable however many copies of it there are and however small the table is.
+3. The benchmark's passages (PASSAGE words) form a TF-IDF matrix. Its randomised SVD runs on Spark: tasks multiply
+   their rows with random signs, Gram matrices are summed, and the projected matrix is summed per word. Passages are
+   taken in parts of at most RANK, so the decomposition is exact and no passage loses cosine to the others.
+4. Every document's windows (PASSAGE words, half overlapping, so that whole texts are covered) are projected and
+   compared with all benchmark passages by cosine (the window's full weight in the denominator). A window is passed over
+   only if a bound of its cosine (each word at the greatest share that it has in any passage) stays below COSINE.
+5. A text that shares a run of GRAM words with an item (SHORT_GRAM words if the item has at most SHORT words) is a
    candidate whatever its cosine and weights. A copy with edits in at most a fifth of the item's words keeps such a run.
-5. A candidate counts if the longest common subsequence of the item's words and the words around the window covers
+6. A candidate counts if the longest common subsequence of the item's words and the words around the window covers
    LCS_SHARE of the item, or PARAPHRASE_SHARE with ANSWER_SHARE of its answer. The answer is what follows the last
    question mark or "answer:", else the last fifth of the words.
 
-The benchmark is taken in blocks of BLOCK items, each against all documents. The passages of a block are taken in parts of
-at most RANK, each with an SVD of its own: this is exact, so that no passage loses cosine to the others.
+The distinct items are dealt by row into blocks of about BLOCK_WORDS words, each searched in one pass over the hashes of
+all documents. The driver and the tasks hold one block at a time: about BLOCK_WORDS / PASSAGE passages (or those of one
+longer item) and, for each part of RANK passages, RANK numbers for each of its words.
 
 Defined results: null or empty texts and items match nothing; equal items all match; rows that repeat a doc_id give one
-row per doc_id and item, the best; null doc_ids are kept as null.
+row per doc_id and item, the best; null doc_ids and item_ids are kept as null. Words whose 32-bit hashes are alike count
+as equal. An item of one word is found by cosine only.
 """
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,15 +40,16 @@ BUCKETS = 1 << 17
 PASSAGE = 48
 RANK = 256
 OVERSAMPLE = 16
-STOP_SHARE, STOP_WEIGHT, LEAST_WEIGHT = 0.1, 0.25, 1e-3
 COSINE = 0.35
 LCS_SHARE = 0.8
 PARAPHRASE_SHARE, ANSWER_SHARE = 0.6, 0.8
-BLOCK = 1024
+BLOCK_WORDS = 100_000
 #: Words of a run that makes a candidate, and of one of items with at most SHORT words (an item of one word has none).
 GRAM, SHORT_GRAM, SHORT = 3, 2, 5
 #: Runs are looked up by this many bits of their hash first.
 GRAM_BITS = 20
+#: Windows that are projected at a time.
+CHUNK = 128
 #: Odd multipliers (fixed values).
 _MIXERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 CACHE = 400_000
@@ -52,46 +57,51 @@ CACHE = 400_000
 _FOLD = bytes(32 if 33 <= i <= 47 or 58 <= i <= 64 or 91 <= i <= 96 or 123 <= i <= 126 else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
-class Words:
-    """Bare words, and the bucket of each."""
+class Words(dict):
+    """Bare words of a text as 32-bit hashes; a hash's low bits are its bucket."""
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = xxhash.xxh64_intdigest(word) & 0xFFFFFFFF
+        return out
 
-    def split(self, text: str | None) -> list[bytes]:
-        return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+    def read(self, text: str | None) -> np.ndarray:
+        if len(self) > CACHE:
+            self.clear()
+        words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+        return np.fromiter(map(self.__getitem__, words), np.uint32, len(words))
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        digest = xxhash.xxh64_intdigest
-        for w in set(words).difference(known):
-            known[w] = digest(w) % BUCKETS
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
+def buckets_of(ids: np.ndarray) -> np.ndarray:
+    return (ids & np.uint32(BUCKETS - 1)).astype(np.int64)
 
-def word_weights(docs: DataFrame) -> np.ndarray:
-    """The weight of each bucket, from the documents that hold it: BUCKETS numbers at most reach the driver. docs: text."""
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """id, words (32-bit hashes, as bytes). docs: id, text."""
 
     def make():
         words = Words()
+        return lambda rows: {"id": rows["id"], "words": [words.read(t).tobytes() for t in rows["text"]]}
 
-        def run(rows):
-            ids = [np.unique(words.ids(words.split(t))) for t in rows["text"]]
-            counts = np.bincount(np.concatenate(ids), minlength=BUCKETS) if ids else np.zeros(BUCKETS, np.int64)
-            some = np.flatnonzero(counts)
-            return {"bucket": np.append(some, -1).astype(np.int32), "n": np.append(counts[some], len(ids))}
+    return map_arrow(docs.select("id", "text"), make, "id long, words binary")
 
-        return run
+
+def word_weights(hashes: DataFrame) -> np.ndarray:
+    """The weight of each bucket, from the documents that hold it: BUCKETS numbers at most reach the driver. hashes: words."""
+    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS + 1, np.int64)  # the last is the number of documents
+        for batch in batches:
+            for x in batch.column(0):
+                total[np.unique(buckets_of(np.frombuffer(x.as_buffer() or b"", np.uint32)))] += 1
+            total[-1] += batch.num_rows
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], schema=schema)
 
     df = np.zeros(BUCKETS + 1)
-    for r in map_arrow(docs.select("text"), make, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        df[r["bucket"]] = r["n"]  # the last is the number of documents
-    total = max(df[-1], 1.0)
-    weight = np.log((total + 1) / (df[:-1] + 1))
-    weight[df[:-1] > STOP_SHARE * total] *= STOP_WEIGHT
-    return np.maximum(weight, LEAST_WEIGHT)
+    for r in hashes.select("words").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        df[r["bucket"]] = r["n"]
+    return 1 + np.log((df[-1] + 1) / (np.minimum(df[:-1], df[-1]) + 1))
 
 
 def passage_starts(n: int, step: int) -> list[int]:
@@ -99,58 +109,79 @@ def passage_starts(n: int, step: int) -> list[int]:
     return [0] if n <= PASSAGE else [*range(0, n - PASSAGE, step), n - PASSAGE]
 
 
+def window_starts(sizes: np.ndarray, begins: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """As passage_starts, of many texts in one array: (starts, the text of each). sizes, begins: of the texts."""
+    inner = np.maximum(-(-(sizes - PASSAGE) // step), 0)  # windows before the last
+    n = np.where(sizes > 0, inner + 1, 0)
+    text = np.repeat(np.arange(len(sizes)), n)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    return begins[text] + np.where(k < inner[text], k * step, np.maximum(sizes[text] - PASSAGE, 0)), text
+
+
 def _signs(buckets: np.ndarray, width: int) -> np.ndarray:
     """A row of random signs for each bucket."""
     raw = np.frombuffer(b"".join(xxhash.xxh64_digest(b"%d:%d" % (b, k)) for b in buckets.tolist() for k in range(-(-width // 64))), np.uint8)
     return np.unpackbits(raw).reshape(len(buckets), -1)[:, :width] * 2.0 - 1.0
 
 
-def _matrix(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets; dense rows over them; none if there is nothing)."""
-    buckets = np.unique(np.concatenate([np.array(x, np.int64) for x in rows["ids"]])) if rows["ids"] else np.empty(0, np.int64)
-    dense = np.zeros((len(rows["ids"]), len(buckets)))
-    for i, (ids, ws) in enumerate(zip(rows["ids"], rows["weights"])):
-        dense[i, np.searchsorted(buckets, np.array(ids, np.int64))] = ws
-    return buckets, dense
+def _matrices(rows) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(part, buckets, dense rows over them) of each part in a batch."""
+    parts = np.array(rows["part"], np.int64)
+    for j in np.unique(parts).tolist():
+        at = np.flatnonzero(parts == j).tolist()
+        buckets = np.unique(np.concatenate([np.array(rows["buckets"][i], np.int64) for i in at]))
+        dense = np.zeros((len(at), len(buckets)))
+        for k, i in enumerate(at):
+            dense[k, np.searchsorted(buckets, np.array(rows["buckets"][i], np.int64))] = rows["weights"][i]
+        yield j, buckets, dense
 
 
-def randomised_svd(passages: DataFrame, n: int, rank: int = RANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """passages: ids (array<int>, distinct), weights. (buckets, their right singular vectors, the singular values), by the given rank."""
-    width = min(rank + OVERSAMPLE, n)
+def randomised_svd(passages: DataFrame, sizes: dict[int, int], rank: int = RANK) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """passages: part, buckets (array<int>, distinct), weights; sizes: passages of each part. Of each part (buckets, their right singular vectors, the singular values), by the given rank."""
+    widths = {j: min(rank + OVERSAMPLE, n) for j, n in sizes.items()}
 
     def gram():
         def run(rows):
-            buckets, a = _matrix(rows)
-            y = a @ _signs(buckets, width) if len(buckets) else np.zeros((0, width))
-            return {"g": [(y.T @ y).ravel()]}
+            out = {"part": [], "g": []}
+            for j, buckets, a in _matrices(rows):
+                y = a @ _signs(buckets, widths[j])
+                out["part"].append(j), out["g"].append((y.T @ y).ravel())
+            return out
 
         return run
 
-    g = np.zeros((width, width))
-    for r in map_arrow(passages.select("ids", "weights"), gram, "g array<double>").toLocalIterator():
-        g += np.array(r["g"]).reshape(width, width)
-    values, vectors = np.linalg.eigh(g)
-    good = values > max(values[-1], 1e-300) * 1e-10
-    whiten = vectors[:, good] / np.sqrt(values[good])  # Y times this has orthonormal columns
-    k = whiten.shape[1]
+    g = {j: np.zeros((w, w)) for j, w in widths.items()}
+    for r in map_arrow(passages, gram, "part long, g array<double>").toLocalIterator():
+        g[r["part"]] += np.array(r["g"]).reshape(g[r["part"]].shape)
+    whiten = {}
+    for j, square in g.items():
+        values, vectors = np.linalg.eigh(square)
+        good = values > max(values[-1], 1e-300) * 1e-10
+        whiten[j] = vectors[:, good] / np.sqrt(values[good])  # Y times this has orthonormal columns
+    shared = passages.sparkSession.sparkContext.broadcast(whiten)
 
     def project():
         def run(rows):
-            buckets, a = _matrix(rows)
-            b = (a @ _signs(buckets, width) @ whiten).T @ a if len(buckets) else np.zeros((k, 0))
-            return {"bucket": buckets.astype(np.int32), "row": list(b.T)}
+            out = {"part": [], "bucket": [], "row": []}
+            for j, buckets, a in _matrices(rows):
+                b = (a @ _signs(buckets, widths[j]) @ shared.value[j]).T @ a
+                out["part"] += [j] * len(buckets)
+                out["bucket"] += buckets.tolist()
+                out["row"] += list(b.T)
+            return out
 
         return run
 
-    total: dict[int, np.ndarray] = {}
-    for r in map_arrow(passages.select("ids", "weights"), project, "bucket int, row array<double>").toLocalIterator():
-        total[r["bucket"]] = total.get(r["bucket"], 0) + np.array(r["row"])
-    buckets = np.array(sorted(total), np.int64)
-    if not len(buckets) or not k:
-        return buckets, np.zeros((len(buckets), 0)), np.zeros(0)
-    b = np.array([total[i] for i in buckets.tolist()])  # words by k
-    u, s, _ = np.linalg.svd(b, full_matrices=False)
-    return buckets, u[:, : min(rank, k)], s[: min(rank, k)]
+    total: dict[int, dict[int, np.ndarray]] = {j: {} for j in sizes}
+    for r in map_arrow(passages, project, "part long, bucket int, row array<double>").toLocalIterator():
+        own = total[r["part"]]
+        own[r["bucket"]] = own.get(r["bucket"], 0) + np.array(r["row"])
+    out = {}
+    for j, own in total.items():
+        buckets = np.array(sorted(own), np.int64)
+        u, s, _ = np.linalg.svd(np.array([own[i] for i in buckets.tolist()]), full_matrices=False)
+        out[j] = buckets, u[:, :rank].astype(np.float32), s[:rank]
+    return out
 
 
 def lcs(a: list, b: list) -> int:
@@ -166,9 +197,9 @@ def lcs(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-def answer_of(text: str | None, words: Words) -> list[bytes]:
+def answer_of(text: str | None, words: Words) -> list[int]:
     tail = re.split(r"\?|answer:", text or "", flags=re.I)[-1]
-    found, every = words.split(tail), words.split(text)
+    found, every = words.read(tail).tolist(), words.read(text).tolist()
     return found if 0 < len(found) < len(every) else every[-max(3, len(every) // 5) :]
 
 
@@ -182,57 +213,60 @@ def runs(ids: np.ndarray, width: int) -> np.ndarray:
         return out * np.uint64(_MIXERS[0])
 
 
+def norm(buckets: np.ndarray, weight: np.ndarray) -> float:
+    own, n = np.unique(buckets, return_counts=True)
+    return float(np.sqrt(((weight[own] * n) ** 2).sum()))
+
+
 class Part:
-    """At most RANK passages and their exact SVD. owner: the item of each."""
+    """At most RANK passages and their SVD. owner: the item of each."""
 
     def __init__(self, passages: list[tuple[int, np.ndarray]], weight: np.ndarray, svd: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        self.buckets, basis, _ = svd
-        self.basis = np.zeros((len(self.buckets) + 1, basis.shape[1]), np.float32)
+        words, basis, _ = svd
+        self.owner = [k for k, _ in passages]
+        self.basis = np.zeros((len(words) + 1, basis.shape[1]), np.float32)  # the last row: words of no passage
         self.basis[:-1] = basis
-        self.owner, rows = [], []
-        for k, ids in passages:
-            at = np.minimum(np.searchsorted(self.buckets, ids), max(len(self.buckets) - 1, 0))
-            at = np.where(self.buckets[at] == ids, at, len(self.buckets)) if len(self.buckets) else np.full(len(ids), 0)
-            v = (self.basis[at] * weight[ids][:, None]).sum(axis=0)
-            if (size := norm(ids, weight)) > 0:
-                rows.append(v / size)
-                self.owner.append(k)
-        self.rows = np.array(rows, np.float32).reshape(len(rows), self.basis.shape[1])
-
-
-def norm(ids: np.ndarray, weight: np.ndarray) -> float:
-    own, n = np.unique(ids, return_counts=True)
-    return float(np.sqrt(((weight[own] * n) ** 2).sum()))
+        self.at = np.full(BUCKETS, len(words), np.int32)
+        self.at[words] = np.arange(len(words))
+        rows, most = [], np.zeros(len(words) + 1)
+        for _, own in passages:
+            kinds, n = np.unique(own, return_counts=True)
+            size = norm(own, weight)
+            rows.append((self.basis[self.at[kinds]] * (weight[kinds] * n)[:, None]).sum(axis=0) / size)
+            most[self.at[kinds]] = np.maximum(most[self.at[kinds]], weight[kinds] * n / size)
+        self.rows = np.array(rows, np.float32)
+        #: The greatest share that a bucket has in a passage, times its weight: what one word can add to a cosine.
+        self.most = np.zeros(BUCKETS, np.float32)
+        self.most[words] = most[:-1] * weight[words]
 
 
 class Block:
-    """A block of benchmark items, ready to search: bounded by BLOCK items and BUCKETS words.
-
-    svds: of each RANK passages, in the order of the items."""
+    """Benchmark items, ready to search. svds: of each RANK passages, in the order of the items."""
 
-    def __init__(self, items: list[tuple[int, str]], weight: np.ndarray, svds: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    def __init__(self, items: list[tuple[int | None, str]], weight: np.ndarray, svds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
         words = Words()
         self.weight = weight.astype(np.float32)
-        self.items = [(i, w, answer_of(t, words)) for i, t in items if (w := words.split(t))]
-        self.ids = [words.ids(w) for _, w, _ in self.items]
-        passages = [(k, self.ids[k][p : p + PASSAGE]) for k, (_, w, _) in enumerate(self.items) for p in passage_starts(len(w), PASSAGE)]
-        self.parts = [Part(passages[j * RANK : (j + 1) * RANK], self.weight, svd) for j, svd in enumerate(svds)]
-        # Of each width: which hashes there may be, and the items of each hash.
+        self.items = [(i, w, answer_of(t, words)) for i, t in items if len(w := words.read(t))]
+        passages = [(k, buckets_of(w[p : p + PASSAGE])) for k, (_, w, _) in enumerate(self.items) for p in passage_starts(len(w), PASSAGE)]
+        self.parts = [Part(passages[j * RANK : (j + 1) * RANK], self.weight, svd) for j, svd in sorted(svds.items())]
+        # Of each width: which hashes there may be, all hashes, and the items of each.
         self.grams = []
         for width in (GRAM, SHORT_GRAM):
             owners: dict[int, list[int]] = {}
-            for k, ids in enumerate(self.ids):
-                if width == (GRAM if len(ids) > SHORT else SHORT_GRAM):
-                    for h in np.unique(runs(ids, width)).tolist():
+            for k, (_, w, _) in enumerate(self.items):
+                if width == (GRAM if len(w) > SHORT else SHORT_GRAM):
+                    for h in np.unique(runs(w, width)).tolist():
                         owners.setdefault(h, []).append(k)
             if owners:
+                known = np.array(sorted(owners), np.uint64)
                 flags = np.zeros(1 << GRAM_BITS, bool)
-                flags[np.array(list(owners), np.uint64) >> np.uint64(64 - GRAM_BITS)] = True
-                self.grams.append((width, flags, owners))
+                flags[known >> np.uint64(64 - GRAM_BITS)] = True
+                self.grams.append((width, flags, known, owners))
+        self.lists = [w.tolist() for _, w, _ in self.items]
 
-    def judge(self, k: int, near: list[bytes]) -> tuple[float, float] | None:
+    def judge(self, k: int, near: list[int]) -> tuple[float, float] | None:
         """(share of the item, share of its answer), if the words hold the item."""
-        _, item, answer = self.items[k]
+        item, answer = self.lists[k], self.items[k][2]
         share = lcs(item, near) / len(item)
         if share < PARAPHRASE_SHARE:
             return None
@@ -240,103 +274,116 @@ class Block:
         return (share, reply) if share >= LCS_SHARE or reply >= ANSWER_SHARE else None
 
     def cosine(self, a: np.ndarray, b: np.ndarray) -> float:
+        a, b = buckets_of(a), buckets_of(b)
         size = norm(a, self.weight) * norm(b, self.weight)
         (x, n), (y, m) = (np.unique(i, return_counts=True) for i in (a, b))
         both, i, j = np.intersect1d(x, y, True, True)
         return float((self.weight[both] ** 2 * n[i] * m[j]).sum() / size) if size else 0.0
 
-    def search(self, found_words: list[bytes], ids: np.ndarray) -> dict[int, tuple[float, float, float]]:
-        """item: (share of the item, share of its answer, cosine), of the items in the text."""
-        best: dict[int, tuple[float, float, float]] = {}
-        if len(ids):
-            for part in self.parts:
-                if len(part.rows):
-                    self.by_cosine(part, found_words, ids, best)
-            self.by_runs(found_words, ids, best)
+    def search(self, texts: list[np.ndarray]) -> dict[tuple[int, int], tuple[float, float, float]]:
+        """(text, item): (share of the item, share of its answer, cosine). texts: word hashes."""
+        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        if not self.items or not texts:
+            return best
+        ids = np.concatenate(texts)
+        sizes = np.array([len(t) for t in texts])
+        ends = np.cumsum(sizes)
+        self.by_cosine(ids, ends - sizes, ends, best)
+        self.by_runs(ids, ends - sizes, ends, best)
         return best
 
-    def by_runs(self, found_words: list[bytes], ids: np.ndarray, best: dict) -> None:
-        for width, flags, owners in self.grams:
+    def by_runs(self, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray, best: dict) -> None:
+        for width, flags, known, owners in self.grams:
             hashes, reached = runs(ids, width), {}
-            for p in np.flatnonzero(flags[hashes >> np.uint64(64 - GRAM_BITS)]).tolist():
-                for k in owners.get(int(hashes[p]), ()):
-                    n = len(self.ids[k])
-                    if p <= reached.get(k, -1):
+            at = np.flatnonzero(flags[hashes >> np.uint64(64 - GRAM_BITS)])
+            at = at[known[np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)] == hashes[at]]
+            text = np.searchsorted(ends, at, side="right")
+            some = at + width <= ends[text]  # no run goes from one text to the next
+            for p, t, h in zip(at[some].tolist(), text[some].tolist(), hashes[at[some]].tolist()):
+                for k in owners[h]:
+                    n = len(self.lists[k])
+                    if p <= reached.get((t, k), -1):
                         continue
                     # The runs of the next n words are judged with this one.
-                    reached[k] = p + n
-                    a, b = max(0, p - 2 * n), p + 3 * n + width
-                    if got := self.judge(k, found_words[a:b]):
-                        best[k] = max(best.get(k, (0.0, 0.0, 0.0)), (*got, self.cosine(self.ids[k], ids[p : p + n])))
-
-    def by_cosine(self, part: Part, found_words: list[bytes], ids: np.ndarray, best: dict) -> None:
-        n, w = len(ids), self.weight[ids]
-        at = np.minimum(np.searchsorted(part.buckets, ids), len(part.buckets) - 1)
-        inside = (part.buckets[at] == ids) & (w > 0)
-        starts = np.array(passage_starts(n, PASSAGE // 2))
-        ends = np.minimum(starts + PASSAGE, n)
-        energy = np.concatenate((np.zeros((2, 1)), np.cumsum(np.stack((w * w, w * w * inside)), axis=1, dtype=np.float64)), axis=1)
-        whole, own = energy[:, ends] - energy[:, starts]
-        live = np.flatnonzero((own > 0) & (own >= COSINE**2 * whole))
-        for s, e, size in zip(starts[live].tolist(), ends[live].tolist(), np.sqrt(whole[live]).tolist()):
-            some = s + np.flatnonzero(inside[s:e])
-            # The sum over words as they stand is a lower bound of the norm.
-            cosines = part.rows @ (w[some] @ part.basis[at[some]]) / size
-            if cosines.max() < COSINE:
-                continue
-            cosines *= size / norm(ids[s:e], self.weight)
-            for p in np.flatnonzero(cosines >= COSINE).tolist():
-                k = part.owner[p]
-                size_k = len(self.ids[k])
-                if got := self.judge(k, found_words[max(0, s - size_k) : e + size_k]):
-                    best[k] = max(best.get(k, (0.0, 0.0, 0.0)), (*got, float(cosines[p])))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                    reached[t, k] = p + n
+                    if got := self.judge(k, ids[max(begins[t], p - 2 * n) : min(ends[t], p + 3 * n + width)].tolist()):
+                        best[t, k] = max(best.get((t, k), (0.0, 0.0, 0.0)), (*got, self.cosine(self.items[k][1], ids[p : min(p + n, ends[t])])))
+
+    def by_cosine(self, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray, best: dict) -> None:
+        buckets = buckets_of(ids)
+        w = self.weight[buckets]
+        starts, text = window_starts(ends - begins, begins, PASSAGE // 2)
+        stops = np.minimum(starts + PASSAGE, ends[text])
+        sums = lambda x: (lambda c: c[stops] - c[starts])(np.concatenate(([0.0], np.cumsum(x, dtype=np.float64))))
+        least = np.sqrt(sums(w * w))  # the sum over words as they stand is a lower bound of the norm
+        lanes, whole = np.arange(PASSAGE), np.zeros(len(starts))
+        for part in self.parts:
+            bound = sums(part.most[buckets]) / COSINE * (1 + 1e-6)
+            live = np.flatnonzero(bound >= least)
+            for i in range(0, len(live), CHUNK):
+                some = live[i : i + CHUNK]
+                place = starts[some, None] + lanes
+                inside = place < stops[some, None]
+                own = np.where(inside, buckets[np.minimum(place, len(ids) - 1)], -1)
+                size = self.weight[own] * inside
+                if not whole[some].all():
+                    times = (own[:, :, None] == own[:, None, :]).sum(axis=2)
+                    whole[some] = np.sqrt((size.astype(np.float64) ** 2 * times).sum(axis=1))
+                kept = bound[some] >= whole[some]
+                some, own, size = some[kept], own[kept], size[kept]
+                cosines = (size[:, None, :] @ part.basis[part.at[own]])[:, 0] @ part.rows.T / whole[some, None]
+                for x, p in zip(*(a.tolist() for a in np.nonzero(cosines >= COSINE))):
+                    s, e, t, k = int(starts[some[x]]), int(stops[some[x]]), int(text[some[x]]), part.owner[p]
+                    n = len(self.lists[k])
+                    if got := self.judge(k, ids[max(begins[t], s - n) : min(ends[t], e + n)].tolist()):
+                        best[t, k] = max(best.get((t, k), (0.0, 0.0, 0.0)), (*got, float(cosines[x, p])))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, cosine, item_share, answer_share: a row for each item that a document holds."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontaminate")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    items = scratch.save(benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")), "items")
-    weight, blocks, out = word_weights(texts), max(1, -(-items.count() // BLOCK)), None
+    texts = scratch.save(hashed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))), "words")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
+    size = F.size(F.split("text", r"\s+")).cast("long")
+    items = scratch.save(items.withColumn("size", size), "items")
+    blocks = max(1, -(-(items.agg(F.sum("size")).first()[0] or 0) // block_words))
+    weight, out = word_weights(texts), None
+    shared_weight = spark.sparkContext.broadcast(weight)
 
     def passages():
-        words = Words()
+        words, weight = Words(), shared_weight.value
 
         def run(rows):
-            ids, weights, part = [], [], []
+            out = {"part": [], "buckets": [], "weights": []}
             for text, first in zip(rows["text"], rows["first"]):
-                w = words.split(text)
-                for j, p in enumerate(passage_starts(len(w), PASSAGE)):
-                    part.append((first + j) // RANK)
-                    own, n = np.unique(words.ids(w[p : p + PASSAGE]), return_counts=True)
-                    some = weight[own] > 0
-                    ids.append(own[some].astype(np.int32)), weights.append((weight[own] * n)[some])
-            return {"part": part, "ids": ids, "weights": weights}
+                ids = buckets_of(words.read(text))
+                for j, p in enumerate(passage_starts(len(ids), PASSAGE)):
+                    own, n = np.unique(ids[p : p + PASSAGE], return_counts=True)
+                    out["part"].append((first + j) // RANK), out["buckets"].append(own), out["weights"].append(weight[own] * n)
+            return out
 
         return run
 
     for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        got = sorted(((r["item_id"], r["text"]) for r in block.collect()), key=str)  # about BLOCK items
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        got = sorted(((r["item_id"], r["text"]) for r in block.collect()), key=str)  # about block_words words
         placed, n = [], 0
         for _, text in got:
-            if size := len(Words().split(text)):
+            if size := len(Words().read(text)):
                 placed.append((text, n))
                 n += len(passage_starts(size, PASSAGE))
-        rows = scratch.save(map_arrow(spark.createDataFrame(placed, "text string, first long"), passages, "part long, ids array<int>, weights array<double>"), f"passages-{b}")
-        svds = [randomised_svd(rows.where(F.col("part") == j), min(RANK, n - j * RANK)) for j in range(-(-n // RANK))]
+        rows = scratch.save(map_arrow(spark.createDataFrame(placed, "text string, first long"), passages, "part long, buckets array<int>, weights array<double>"), f"passages-{b}")
+        svds = randomised_svd(rows, {j: min(RANK, n - j * RANK) for j in range(-(-n // RANK))})
         shared = spark.sparkContext.broadcast((got, weight, svds))
 
         def search(shared=shared):
-            words, block = Words(), Block(*shared.value)
+            block = Block(*shared.value)
 
             def run(rows):
                 out = {n: [] for n in ("doc_id", "item_id", "item_share", "answer_share", "cosine")}
-                for i, text in zip(rows["id"], rows["text"]):
-                    w = words.split(text)
-                    for k, values in block.search(w, words.ids(w)).items():
-                        for name, value in zip(out, (i, block.items[k][0], *values)):
-                            out[name].append(value)
+                for (t, k), values in block.search([np.frombuffer(x, np.uint32) for x in rows["words"]]).items():
+                    for name, value in zip(out, (rows["id"][t], block.items[k][0], *values)):
+                        out[name].append(value)
                 return out
 
             return run

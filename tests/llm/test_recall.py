@@ -29,7 +29,7 @@ def test_item_in_most_documents_is_found(spark):
     docs.append((60, " ".join(f"q{k} q{k + 1} q{k}" for k in range(0, 30, 2))))
     found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert {x.doc_id for x in found.collect()} == {i for i in range(60) if i % 2} | {60}
-    weight = decontaminate.word_weights(spark.createDataFrame([(item,)] * 3, "text string"))
+    weight = decontaminate.word_weights(decontaminate.hashed(spark.createDataFrame([(1, item)] * 3, "id long, text string")))
     assert (weight > 0).all()
 
 
