@@ -391,7 +391,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         found = map_arrow(texts, search, "doc_id long, item_id long, item_share double, answer_share double, cosine double")
         out = found if out is None else out.unionByName(found)
     best = F.max(F.struct("item_share", "answer_share", "cosine")).alias("b")
-    return scratch.save(out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *[F.round(f"b.{c}", 4).alias(c) for c in ("cosine", "item_share", "answer_share")]), "found")
+    found = scratch.save(out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *[F.round(f"b.{c}", 4).alias(c) for c in ("cosine", "item_share", "answer_share")]), "found")
+    scratch.drop("words")
+    return found
 
 
 def apply(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
