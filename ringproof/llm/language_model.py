@@ -37,13 +37,13 @@ SMOOTH = 0.1
 TABLE, HEAD, WIDTH, MIDDLE = 50_000, 1024, 32, 4096
 HIDDEN, STEPS, MOST_STEPS, LANES = 16, 16, 128, 512
 RATE = 0.08
-ROUNDS, SHARD_TOKENS = 4, 4_000_000
+ROUNDS, SHARD_TOKENS = 2, 8_000_000
 #: Tokens that a learner holds at a time: long documents take many steps, which others share.
-HELD_TOKENS = 1_000_000
+HELD_TOKENS = 6_000_000
 FAN = 16
 CACHE = 400_000
 #: Bytes of hashes that are counted at a time, and of table places whose documents are scored side by side.
-COUNT_SLICE, SCORE_SLICE = 32 << 20, 8 << 20
+COUNT_SLICE, SCORE_SLICE = 32 << 20, 16 << 20
 SEED = 7
 _UPPER = bytes(range(65, 91))
 _FOLD = bytes.maketrans(_UPPER, _UPPER.lower())
