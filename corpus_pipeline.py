@@ -87,5 +87,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{i}")
         if i:
             scratch.drop(f"stage-{i - 1}")
-        scratch.release()
     return docs
