@@ -1,13 +1,18 @@
 """Quality rules with adaptive thresholds.
 
 Each document gives five whole-number features. A sketch is a table of bucket counts on a log-linear scale (a bucket
-keeps the leading bits of a value, so its error is at most 1 in 2**BITS); sketches merge by adding counts, exactly and
-in any order. Sketches are built per language and source and merged into one per language and one of all. A group's
-fences are its quartiles widened by REACH spreads and a tolerance; groups of fewer than MIN_GROUP documents take the
-fences of their language, or of all. The fences are joined to the documents, and those outside a fence go.
+keeps the BITS leading bits of a value, so it is off by at most 1 in 2**(BITS - 1)); sketches merge by adding counts,
+exactly and in any order. Sketches of the documents that pass the base rules are built per language and source and merged
+into one per language and one of all.
+
+All fences are quantiles of the sketches. A dense feature may lie REACH times as far from its median as its 90th (or 10th)
+percentile does. A sparse one, which is zero for most documents, may reach its TOP percentile, or the median of its values
+above zero if that is greater. A language's fences are mixed with those of all as if PRIOR documents had the latter, and a
+group's with its language's likewise, so that small groups lean on more documents and none is left out. The fences are
+joined to the documents, and those outside a fence go.
 
 Defined results: a null text has no words (and fails the base rules); null languages or sources form a group of their
-own; rows that repeat a doc_id keep a row each.
+own; rows that repeat a doc_id keep a row each; a group without a document that passes the base rules keeps none.
 """
 from __future__ import annotations
 
@@ -20,15 +25,11 @@ MIN_WORDS = 50
 MOST_REPEATED = 50  # per cent of the words
 BITS = 5
 REACH = 3
-MIN_GROUP = 200
-#: feature: (tolerance below or None for no lower fence, tolerance above); in millionths, word length in thousandths.
-FEATURES = {
-    "symbols_ppm": (None, 30_000),
-    "repeats_ppm": (None, 300_000),
-    "dup_lines_ppm": (None, 400_000),
-    "capitals_ppm": (None, 150_000),
-    "word_milli": (1_500, 1_500),
-}
+TOP = 98  # per cent
+PRIOR = 200  # documents
+#: feature: (dense, with a lower fence); in millionths, word length in thousandths.
+FEATURES = {"symbols_ppm": (False, False), "repeats_ppm": (False, False), "dup_lines_ppm": (False, False), "capitals_ppm": (True, False), "word_milli": (True, True)}
+SIDES = [f"{f}_{side}" for f, (_, low) in FEATURES.items() for side in (("low", "high") if low else ("high",))]
 _SYMBOLS = b"#*$%&|<>"
 _BLANKS = b"\t\n\x0b\x0c\r "
 _NO_CAPITALS = bytes(range(65, 91))
@@ -98,44 +99,57 @@ def merge(sketches: DataFrame, *keys: str) -> DataFrame:
     return sketches.groupBy(*keys, "feature", "bucket").agg(F.sum("n").alias("n"))
 
 
+def _quantiles(upto: str, total: str, zeros: str) -> dict[str, str]:
+    """SQL aggregates, for either engine, over the buckets of a sketch."""
+    at = lambda per_cent: f"min(case when {upto} * 100 >= {total} * {per_cent} then bucket end)"
+    middle = f"coalesce(min(case when bucket > 0 and ({upto} - {zeros}) * 2 >= {total} - {zeros} then bucket end), 0)"
+    return {"q10": at(10), "q50": at(50), "q90": at(90), "top_q": at(TOP), "middle": middle}
+
+
+def _fence(feature: str, side: str) -> str:
+    """SQL, for either engine, of the columns that _quantiles names."""
+    dense, _ = FEATURES[feature]
+    if side == "low":
+        return f"q50 - {REACH} * (q50 - q10)"
+    return f"q50 + {REACH} * (q90 - q50)" if dense else "greatest(top_q, middle)"
+
+
 def fences(sketches: DataFrame, *keys: str) -> DataFrame:
     """keys, n, and for each feature its low and high fence."""
     group = Window.partitionBy(*keys, "feature")
-    ranked = sketches.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "total": F.sum("n").over(group)})
-    at = lambda quarter: F.min(F.when(F.col("upto") * 4 >= F.col("total") * quarter, F.col("bucket")))
-    quartiles = ranked.groupBy(*keys, "feature").agg(F.max("total").alias("n"), at(1).alias("q1"), at(3).alias("q3"))
-    wide = quartiles.groupBy(*keys) if keys else quartiles.groupBy()
-    columns = [F.max("n").alias("n")]
-    for f, (below, above) in FEATURES.items():
-        of = lambda c, f=f: F.max(F.when(F.col("feature") == f, F.col(c)))
-        columns.append((of("q3") + REACH * (of("q3") - of("q1")) + above).alias(f"{f}_high"))
-        if below is not None:
-            columns.append((of("q1") - REACH * (of("q3") - of("q1")) - below).alias(f"{f}_low"))
-    return wide.agg(*columns)
-
-
-def thresholds(sketches: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """lang, source and the fences that hold there: the group's own, else its language's, else those of all."""
-    sides = [f"{f}_{side}" for f, (below, _) in FEATURES.items() for side in (("low", "high") if below is not None else ("high",))]
-    by_lang, overall = fences(merge(sketches, "lang"), "lang"), fences(merge(sketches))
-    named = lambda df, tag, *keys: df.select(*keys, *[F.col(c).alias(f"{tag}_{c}") for c in ("n", *sides)])
-    out = named(fences(sketches, "lang", "source"), "own", "lang", "source").join(named(by_lang, "lang", "lang"), "lang").join(F.broadcast(named(overall, "all")))  # one row
-    pick = lambda c: F.when(F.col("own_n") >= min_group, F.col(f"own_{c}")).when(F.col("lang_n") >= min_group, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}")).alias(c)
-    return out.select("lang", "source", *[pick(c) for c in sides])
-
-
-def judged(docs: DataFrame, min_group: int = MIN_GROUP, **columns: str) -> DataFrame:
+    ranked = sketches.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "total": F.sum("n").over(group), "zeros": F.sum(F.when(F.col("bucket") == 0, F.col("n")).otherwise(0)).over(group)})
+    found = ranked.groupBy(*keys, "feature").agg(F.max("total").alias("n"), *[F.expr(q).alias(name) for name, q in _quantiles("upto", "total", "zeros").items()])
+    columns = [F.max(F.when(F.col("feature") == s.rpartition("_")[0], F.expr(_fence(*s.rpartition("_")[::2])))).alias(s) for s in SIDES]
+    return (found.groupBy(*keys) if keys else found.groupBy()).agg(F.max("n").alias("n"), *columns)
+
+
+def _mixed(n: str, own: str, wider: str) -> str:
+    """SQL, for Spark: a fence and one of more documents, weighed."""
+    return f"({n} * {own} + {PRIOR} * {wider}) div ({n} + {PRIOR})"
+
+
+def thresholds(sketches: DataFrame) -> DataFrame:
+    """lang, source and the fences that hold there."""
+    named = lambda df, tag, *keys: df.select(*keys, *[F.col(c).alias(f"{tag}_{c}") for c in ("n", *SIDES)])
+    overall = named(fences(merge(sketches)), "all")
+    by_lang = named(fences(merge(sketches, "lang"), "lang"), "lang", "lang").join(F.broadcast(overall))  # one row
+    by_lang = by_lang.select("lang", *[F.expr(_mixed("lang_n", f"lang_{s}", f"all_{s}")).alias(f"lang_{s}") for s in SIDES])
+    own = named(fences(sketches, "lang", "source"), "own", "lang", "source").join(by_lang, "lang")
+    return own.select("lang", "source", *[F.expr(_mixed("own_n", f"own_{s}", f"lang_{s}")).alias(s) for s in SIDES])
+
+
+def judged(docs: DataFrame, **columns: str) -> DataFrame:
     """A row for each row of docs: id, measures, features, base_failed, kept."""
     scratch = Scratch(docs.sparkSession, "quality-rules")
-    rows = scratch.save(features(measures(docs, **columns)), "measures")
-    limits = scratch.save(thresholds(scratch.save(sketch(rows), "sketches"), min_group), "thresholds")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    rows = scratch.save(features(measures(docs, **columns)).withColumn("base_failed", failed), "measures")
+    limits = scratch.save(thresholds(scratch.save(sketch(rows.where("not base_failed")), "sketches")), "thresholds")
     inside = F.lit(True)
-    for f, (below, _) in FEATURES.items():
-        inside &= F.col(f) <= F.col(f"{f}_high")
-        if below is not None:
-            inside &= F.col(f) >= F.col(f"{f}_low")
-    return join_sized(rows, limits, ["lang", "source"], "left").withColumns({"base_failed": failed, "kept": ~failed & inside})
+    for s in SIDES:
+        f, _, side = s.rpartition("_")
+        value = F.expr(_bucket(f))
+        inside &= value <= F.col(s) if side == "high" else value >= F.col(s)
+    return join_sized(rows, limits, ["lang", "source"], "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,20 +158,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fence_sql(sketches: str, keys: list[str]) -> str:
     by = "".join(f"{k}, " for k in keys)
-    sides = []
-    for f, (below, above) in FEATURES.items():
-        q1, q3 = (f"max(case when feature = '{f}' then {q} end)" for q in ("q1", "q3"))
-        sides.append(f"{q3} + {REACH} * ({q3} - {q1}) + {above} as {f}_high")
-        if below is not None:
-            sides.append(f"{q1} - {REACH} * ({q3} - {q1}) - {below} as {f}_low")
+    sides = ", ".join(f"max(case when feature = '{f}' then {_fence(f, side)} end) as {f}_{side}" for f, _, side in (s.rpartition("_") for s in SIDES))
+    quantiles = ", ".join(f"{q} as {name}" for name, q in _quantiles("upto", "total", "zeros").items())
     return f"""
-  select {by}max(total) as n, {', '.join(sides)} from (
-    select {by}feature, max(total) as total, min(case when upto * 4 >= total then bucket end) as q1, min(case when upto * 4 >= total * 3 then bucket end) as q3
-    from (select *, sum(n) over (partition by {by}feature order by bucket) as upto, sum(n) over (partition by {by}feature) as total from ({sketches}))
+  select {by}max(n) as n, {sides} from (
+    select {by}feature, max(total) as n, {quantiles} from (
+      select *, sum(n) over (partition by {by}feature order by bucket) as upto, sum(n) over (partition by {by}feature) as total,
+             sum(case when bucket = 0 then n else 0 end) over (partition by {by}feature) as zeros from ({sketches}))
     group by {by}feature) {'group by ' + ', '.join(keys) if keys else ''}"""
 
 
-_SIDES = [f"{f}_{side}" for f, (below, _) in FEATURES.items() for side in (("low", "high") if below is not None else ("high",))]
+_WIDER_SQL = ", ".join(f"cast((l.n * l.{s} + {PRIOR} * o.{s}) // (l.n + {PRIOR}) as hugeint) as {s}" for s in SIDES)
+_OWN_SQL = ", ".join(f"cast((g.n * g.{s} + {PRIOR} * l.{s}) // (g.n + {PRIOR}) as hugeint) as {s}" for s in SIDES)
 OP1_SQL = rf"""
 with d as (
   select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents
@@ -186,19 +198,20 @@ l as (
          n_dup_lines * 1000000 // greatest(n_lines, 1) as dup_lines_ppm, n_capitals * 1000000 // greatest(word_chars, 1) as capitals_ppm,
          word_chars * 1000 // greatest(n_words, 1) as word_milli
   from m
+), b as (
+  select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words as base_failed from f
 ), long as (
-  {' union all '.join(f"select lang, source, '{x}' as feature, {x} as v from f" for x in FEATURES)}
+  {' union all '.join(f"select lang, source, '{x}' as feature, {x} as v from b where not base_failed" for x in FEATURES)}
 ), sk as (
   select lang, source, feature, {_bucket('v')} as bucket, count(*) as n from long group by all
 ), own as ({_fence_sql('select * from sk', ['lang', 'source'])}),
 by_lang as ({_fence_sql('select lang, feature, bucket, sum(n) as n from sk group by all', ['lang'])}),
 overall as ({_fence_sql('select feature, bucket, sum(n) as n from sk group by all', [])}),
-t as (
-  select own.lang, own.source, {', '.join(f"case when own.n >= {MIN_GROUP} then own.{s} when by_lang.n >= {MIN_GROUP} then by_lang.{s} else overall.{s} end as {s}" for s in _SIDES)}
-  from own join by_lang on own.lang = by_lang.lang cross join overall
-), j as (
-  select f.*, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words as base_failed, {' and '.join(f"{s.rpartition('_')[0]} {'<=' if s.endswith('high') else '>='} {s}" for s in _SIDES)} as inside
-  from f join t on f.lang = t.lang and f.source = t.source
+wider as (select l.lang, {_WIDER_SQL} from by_lang l cross join overall o),
+t as (select g.lang, g.source, {_OWN_SQL} from own g join wider l on g.lang = l.lang),
+j as (
+  select b.*, {' and '.join(f"{_bucket('b.' + s.rpartition('_')[0])} {'<=' if s.endswith('high') else '>='} t.{s}" for s in SIDES)} as inside
+  from b left join t on b.lang = t.lang and b.source = t.source
 )
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and inside as kept from j
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(inside, false) as kept from j
 """
