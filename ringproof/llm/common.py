@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a side is broadcast by join_sized; above it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Keys that join_hot takes apart at most.
+HOT_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +62,6 @@ class Scratch:
         for name in names:
             self._fs.delete(self._path(f"{self.at}/{name}"), True)
 
-    def release(self) -> None:
-        """Lets Spark delete the shuffle files of jobs that are over: it does so when the driver's JVM collects its garbage."""
-        self.spark.sparkContext._jvm.System.gc()
-
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, slice_bytes: int = 8 << 20) -> DataFrame:
     """make() is called once a task and gives a function from the columns of a batch to the columns of the output (lists or arrays)."""
@@ -93,5 +91,16 @@ def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str, most:
     return left.join(F.broadcast(right) if right.count() <= most else right, on, how)
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "left", n: str = "_n") -> DataFrame:
+    """left joined to right (one row a key, a written table); right[n] is how many rows of left have the key, and goes.
+
+    Keys with over one in HOT_KEYS of all those rows are at most HOT_KEYS, a proven bound: their rows are joined by a
+    broadcast and never meet in a task. The others are shuffled. how: left or inner. left is read twice: a written table."""
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(right.where(F.col(n) * HOT_KEYS > total).drop(n))
+    cold = right.where(F.col(n) * HOT_KEYS <= total).drop(n)
+    return left.join(hot, on).unionByName(left.join(F.broadcast(right.where(F.col(n) * HOT_KEYS > total).select(on)), on, "left_anti").join(cold, on, how))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

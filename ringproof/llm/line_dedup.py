@@ -1,10 +1,11 @@
 """Line dedup, native: levelled sorted runs of line hashes.
 
-Each batch of documents becomes a sorted run of (line hash, documents that hold it). A batch is first
-merge-anti-joined against the settled run, the hashes that are already known to be frequent, so that
-common lines are stored once; the rest is added as a run of level 0. When a level has `fanout` runs they
-are merged into one run of the next level, and hashes that have reached the threshold move to the settled
-run. Only DataFrame functions are used.
+Each batch of documents becomes a run of (line hash, documents that hold it), written as a table bucketed and sorted by
+hash. A new batch is grouped into the same buckets and merge-anti-joined against the settled runs, the hashes that are
+already known to be frequent, so that common lines are stored once; the rest is added as a run of level 0. When a level
+has two runs they are merged by a full outer merge join into one run of the next level, and hashes that have reached the
+threshold move to a settled run. Runs have the same buckets, so that neither join moves a run. Only DataFrame functions
+are used.
 
 Defined results: a null or empty text is one empty line; empty keys are never dropped; a document counts
 once for a key however often it repeats the line, and rows that share a doc_id count as one document; a
@@ -13,16 +14,18 @@ null doc_id is a document of its own kind (all rows with a null doc_id count as
 from __future__ import annotations
 
 import string
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, table
+from .common import BROADCAST_ROWS, Scratch, join_hot, parts, table
 
 MIN_DOCS = 10
 MIN_KEY = 1
 BATCHES = 4
-FANOUT = 2
+#: Hashes of frequent lines that are broadcast with their documents at most.
+BROADCAST_HASHES = 200_000
 _BLANKS = "\t\n\x0b\x0c\r "
 
 
@@ -43,80 +46,90 @@ def lines_of(text: Column) -> Column:
 
 
 class LineRuns:
-    """The levelled runs. Columns of a run: h (struct<a,b>), n (documents)."""
+    """The levelled runs. Columns of a run: a, b (the hash), n (documents)."""
 
-    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
-        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.scratch, self.levels, self.settled, self.made = Scratch(spark, "line-runs"), [[]], [], 0
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS):
+        self.spark, self.min_docs, self.buckets = spark, min_docs, parts(spark)
+        self.scratch, self.levels, self.settled, self.tables = Scratch(spark, "line-runs"), [[]], [], []
 
     def _save(self, df: DataFrame) -> str:
-        self.made += 1
-        self.scratch.save(df.sortWithinPartitions("h"), name := f"run-{self.made}")
+        name = f"rp_run_{uuid.uuid4().hex}"
+        writer = df.write.bucketBy(self.buckets, "a", "b").sortBy("a", "b").option("compression", "zstd")
+        writer.option("path", f"{self.scratch.at}/{name}").saveAsTable(name)
+        self.tables.append(name)
         return name
 
-    def _merged(self, names: list[str]) -> DataFrame:
-        runs = [self.scratch.load(n) for n in names]
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        return out.groupBy("h").agg(F.sum("n").alias("n"))
-
     def add(self, hashes: DataFrame) -> None:
-        """hashes: one row (h) for each document and key."""
-        run = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+        """hashes: one row (a, b) for each document and key."""
+        run = hashes.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
         for name in self.settled:
-            run = run.join(self.scratch.load(name), "h", "left_anti")
+            run = run.join(self.spark.table(name).hint("merge"), ["a", "b"], "left_anti")
         self.levels[0].append(self._save(run))
         self._compact()
 
     def _compact(self) -> None:
         level = 0
-        while len(self.levels[level]) >= self.fanout:
-            old, self.levels[level] = self.levels[level], []
-            merged = self._merged(old)
-            whole = self._save(merged)
+        while len(self.levels[level]) == 2:
+            one, two = (self.spark.table(n) for n in self.levels[level])
+            n = (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n")
+            whole = self._save(one.join(two.withColumnRenamed("n", "m").hint("merge"), ["a", "b"], "full").select("a", "b", n))
             frequent = F.col("n") >= self.min_docs
-            self.settled.append(self._save(self.scratch.load(whole).where(frequent).select("h")))
-            rest = self._save(self.scratch.load(whole).where(~frequent))
-            self.scratch.drop(whole, *old)
+            self.settled.append(self._save(self.spark.table(whole).where(frequent)))
+            rest = self._save(self.spark.table(whole).where(~frequent))
+            self._drop(whole, *self.levels[level])
+            self.levels[level] = []
             level += 1
             if level == len(self.levels):
                 self.levels.append([])
             self.levels[level].append(rest)
 
+    def _drop(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"drop table if exists {name}")
+            self.tables.remove(name)
+        self.scratch.drop(*names)
+
     def frequent(self) -> DataFrame:
-        """h of every key in at least min_docs documents."""
-        found = [self.scratch.load(n).select("h") for n in self.settled]
-        if left := [n for level in self.levels for n in level]:
-            found.append(self._merged(left).where(F.col("n") >= self.min_docs).select("h"))
+        """a, b of every key in at least min_docs documents, and n, at least how many; the runs go."""
+        found = [self.spark.table(n) for n in self.settled]
+        left = [self.spark.table(n) for level in self.levels for n in level]
+        if left:
+            every = left[0]
+            for run in left[1:]:
+                every = every.unionByName(run)
+            found.append(every.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= self.min_docs))
         out = found[0]
         for x in found[1:]:
             out = out.unionByName(x)
+        out = self.scratch.save(out, "frequent")
+        self._drop(*list(self.tables))
         return out
 
 
 def frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_key: int = MIN_KEY, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
-    """(h of every frequent key; the written table of id and its distinct hashes, by batch)."""
-    spark = docs.sparkSession
-    runs = LineRuns(spark, min_docs)
+    """(every frequent key; the written table of id and its distinct hashes, by batch)."""
+    runs = LineRuns(docs.sparkSession, min_docs)
     hashes = F.array_distinct(F.filter(F.transform(lines_of(F.col(text_col)), lambda x: line_hash(x, min_key)), lambda h: h.isNotNull()))
     keyed = docs.select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)).alias("batch"), hashes.alias("hs"))
     keyed = runs.scratch.save(keyed, "documents", partition_by="batch")
     for i in range(batches):
         # Rows that share an id count once.
-        runs.add(keyed.where(F.col("batch") == i).select("id", F.explode("hs").alias("h")).distinct())
-    return runs.scratch.save(runs.frequent(), "frequent"), keyed
+        runs.add(keyed.where(F.col("batch") == i).select("id", F.inline("hs")).distinct())
+    return runs.frequent(), keyed
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_key: int = MIN_KEY, batches: int = BATCHES) -> DataFrame:
     """docs with two more columns: _rp_lines (lines before) and _rp_kept (array of the lines that stay)."""
     frequent, keyed = frequent_lines(docs, id_col, text_col, min_docs, min_key, batches)
     scratch = Scratch(docs.sparkSession, "line-hits")
-    found = keyed.select("id", F.explode("hs").alias("h")).join(frequent, "h", "left_semi")
+    lines_in = keyed.select("id", F.explode("hs").alias("h"))
+    frequent = frequent.select(F.struct("a", "b").alias("h"), F.col("n").alias("_n"))
+    # A row has 24 bytes. Beyond the bound the most frequent lines are joined apart, since they are hot by their nature.
+    found = lines_in.join(F.broadcast(frequent), "h", "left_semi") if frequent.count() <= BROADCAST_ROWS else join_hot(lines_in, frequent, "h", "inner")
     hits = scratch.save(found.groupBy("id").agg(F.collect_set("h").alias("_rp_hot")), "hits")
+    size = hits.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("_rp_hot")), F.lit(0))).first()[0]
     hits = hits.withColumnRenamed("id", "_rp_id")
-    small = hits.count() <= BROADCAST_ROWS
-    joined = docs.join(F.broadcast(hits) if small else hits, docs[id_col].eqNullSafe(hits["_rp_id"]), "left").drop("_rp_id")
+    joined = docs.join(F.broadcast(hits) if size <= BROADCAST_HASHES else hits, docs[id_col].eqNullSafe(hits["_rp_id"]), "left").drop("_rp_id")
     lines = lines_of(F.col(text_col))
     kept = F.when(F.col("_rp_hot").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_rp_hot"), line_hash(x, min_key)), F.lit(False))))
     return joined.withColumns({"_rp_lines": F.size(lines).cast("long"), "_rp_kept": kept}).drop("_rp_hot")

@@ -3,15 +3,16 @@
 1. Every document gives selected phrases: of the phrases of PHRASE words inside each window of WINDOW words the one of
    least hash. Equal windows select equal phrases, so a window can only recur if its phrase does. Exact copies of a
    document are set aside first: all windows of a copy start in the smallest document of its class.
-2. Phrases that start in two documents or more are recurring. They are joined to the documents that hold them; each
-   batch of such documents compiles one shard: a pyahocorasick automaton of the recurring phrases of these documents,
-   over one symbol a word. Shards are bounded by the batch, and no document meets a shard without its phrases.
-3. The documents stream through their shard. Windows around the located phrases are keyed by 128 bits; the smallest
-   document of each key owns the window, found by grouping.
-4. A document keeps the words outside its windows that others own.
+2. Phrases that start in two documents or more are confirmed as recurring. The smallest document of each gives its words,
+   one symbol a word, and these patterns are joined to the documents that hold them.
+3. The patterns are sharded with their documents: each batch compiles one pyahocorasick automaton of its patterns, and the
+   documents stream through it. Documents without a recurring phrase have no shard to pass. Where the automaton finds a
+   pattern, the windows that select it are keyed by 128 bits; the smallest document of each key owns the window, found by
+   grouping.
+4. A second pass through the automata finds the windows again; a document keeps the words outside those that others own.
 
 Whole texts are read; no group is gathered: a phrase or window that a third of all documents share is counted by
-partial minima. The only arrays are those of one document.
+partial minima, and joins take the most frequent digests and phrases apart. The only arrays are those of one document.
 
 Defined results: a null text has no words; a null doc_id is smaller than none and owns nothing, its row stays whole;
 rows that share a doc_id are one document for ownership and keep a row each.
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_sized, map_arrow, table
+from .common import Scratch, join_hot, join_sized, map_arrow, table
 
 WINDOW = 50
 PHRASE = 10
@@ -103,24 +104,26 @@ class Reader:
         phrases = _mixed(_rolling(x, self.phrase, _PHRASE_BASE))
         return x, phrases, _least(phrases, self.window - self.phrase + 1)
 
-    def located(self, texts: list[np.ndarray], phrases: list[np.ndarray], recurring: list[np.ndarray]) -> list[np.ndarray]:
-        """The recurring phrases found in each document by the automaton of all of them."""
-        symbols = ["".join(map(chr, (0x10000 + (x & np.uint64(0xFFFFF)) % np.uint64(0x100000)).tolist())) for x in texts]
-        automaton, keys = ahocorasick.Automaton(), []
-        for s, own, wanted in zip(symbols, phrases, recurring):
-            _, at = np.unique(own, return_index=True)
-            for p in at[np.isin(own[at], wanted)].tolist():
-                if automaton.add_word(s[p : p + self.phrase], len(keys)):
-                    keys.append(None)
-        if not keys:
-            return [np.empty(0, np.uint64) for _ in texts]
+    def located(self, docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], patterns: list[list[str]]) -> list[np.ndarray]:
+        """Of each document the windows that select a phrase where the automaton of all patterns finds one. docs: as read gives."""
+        automaton = ahocorasick.Automaton()
+        for p in {p for own in patterns for p in own}:
+            automaton.add_word(p, None)
+        if not len(automaton):
+            return [np.empty(0, np.int64) for _ in docs]
         automaton.make_automaton()
-        found = []
-        for s, own, wanted in zip(symbols, phrases, recurring):
-            ends = np.fromiter((end for end, _ in automaton.iter(s)), np.int64)
-            here = np.unique(own[ends - self.phrase + 1])
-            found.append(here[np.isin(here, wanted)])  # two words of one symbol aren't the same phrase
-        return found
+        out = []
+        for x, phrases, chosen in docs:
+            ends = np.fromiter((end for end, _ in automaton.iter(symbols(x))), np.int64)
+            seen = np.full(len(phrases), np.iinfo(np.uint64).max, np.uint64)
+            seen[ends - self.phrase + 1] = phrases[ends - self.phrase + 1]
+            out.append(np.flatnonzero(_least(seen, self.window - self.phrase + 1) == chosen))
+        return out
+
+
+def symbols(x: np.ndarray) -> str:
+    """A character for each word hash. Two words may share one: a phrase found in error selects windows that nobody else has."""
+    return ((x & np.uint64(0xFFFFF)) + np.uint64(0x10000)).astype("<u4").tobytes().decode("utf-32-le")
 
 
 def _long(x: np.ndarray) -> np.ndarray:
@@ -152,72 +155,87 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "passages")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     seen = scratch.save(survey(texts, window, phrase), "seen")
-    first = seen.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("id").alias("first_id"))
-    rows = seen.join(first, "digest", "left")
+    long = seen.where(F.col("n_words") >= window)
+    first = scratch.save(long.groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("_n")), "first")
+    rows = scratch.save(join_hot(long, first, "digest"), "rows")
     whole = rows.where("first_id is not null and id = first_id").select("id", "digest", "phrases").dropDuplicates(["id", "digest"])
     whole = scratch.save(whole.select("id", "digest", F.explode("phrases").alias("phrase")), "phrases")
-    recurring = whole.groupBy("phrase").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("phrase")
-    holders = scratch.save(whole.join(recurring, "phrase", "left_semi").groupBy("id", "digest").agg(F.collect_list("phrase").alias("recurring")), "holders")
+    recurring = scratch.save(whole.groupBy("phrase").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("_n")).where("least < most").drop("most"), "recurring")
+    held = scratch.save(join_hot(whole, recurring, "phrase", "inner"), "held")
     scratch.drop("phrases")
     # Only the texts of holders move; the others keep all their words.
+    holders = scratch.save(held.groupBy("id", "digest").agg(F.collect_list(F.when(F.col("id") == F.col("least"), F.col("phrase"))).alias("named")), "holders")
     own = scratch.save(join_sized(texts, holders.select("id").distinct(), ["id"], "left_semi").join(holders, "id"), "texts")
-    scratch.release()
+
+    def spell():
+        reader = Reader(window, phrase)
+
+        def run(rows):
+            out = {"phrase": [], "pattern": []}
+            for text, named in zip(rows["text"], rows["named"]):
+                x, phrases, _ = reader.read(words_of(text)) if len(words_of(text)) >= window else (None, np.empty(0, np.uint64), None)
+                kinds, at = np.unique(phrases, return_index=True)
+                at = at[np.isin(kinds, np.array(named, np.int64).view(np.uint64))]
+                out["phrase"] += _long(phrases[at]).tolist()
+                out["pattern"] += [symbols(x[p : p + phrase]) for p in at.tolist()]
+            return out
+
+        return run
+
+    spelled = map_arrow(own.where(F.size("named") > 0).select("text", "named"), spell, "phrase long, pattern string").groupBy("phrase").agg(F.min("pattern").alias("pattern"))
+    patterns = scratch.save(spelled.join(recurring.select("phrase", "_n"), "phrase"), "patterns")
+    taken = join_hot(held.select("id", "digest", "phrase"), patterns, "phrase", "inner").groupBy("id", "digest").agg(F.collect_list("pattern").alias("patterns"))
+    own = scratch.save(own.drop("named").join(taken, ["id", "digest"]), "streams")
+    scratch.drop("texts")
+
+    def streamed(reader: Reader, rows: dict) -> list[tuple]:
+        """(place of the row, words, word hashes, windows that select a located phrase) of the rows that are meant: ids may repeat."""
+        todo = [(k, words) for k, (text, digest) in enumerate(zip(rows["text"], rows["digest"])) if hashlib.sha256(b" ".join(words := words_of(text))).hexdigest() == digest]
+        docs = [reader.read(words) for _, words in todo]
+        return [(k, words, doc[0], at) for (k, words), doc, at in zip(todo, docs, reader.located(docs, [rows["patterns"][k] for k, _ in todo]))]
 
     def keys():
         reader = Reader(window, phrase)
 
         def run(rows):
-            todo = []
-            for i, text, digest, recurring in zip(rows["id"], rows["text"], rows["digest"], rows["recurring"]):
-                words = words_of(text)
-                if hashlib.sha256(b" ".join(words)).hexdigest() == digest:
-                    todo.append((i, *reader.read(words), np.array(recurring, np.int64).view(np.uint64)))
-            found = reader.located([t[1] for t in todo], [t[2] for t in todo], [t[4] for t in todo])
             a, b, ids = [], [], []
-            for (i, x, _, chosen, _), here in zip(todo, found):
-                at = np.flatnonzero(np.isin(chosen, here))
+            for k, _, x, at in streamed(reader, rows):
                 ka, kb = _window_keys(x, window, _BASE_A)[at], _window_keys(x, window, _BASE_B)[at]
                 ka, once = np.unique(ka, return_index=True)
-                a.append(ka), b.append(kb[once]), ids.append(np.full(len(ka), i, np.int64))
+                a.append(ka), b.append(kb[once]), ids.append(np.full(len(ka), rows["id"][k], np.int64))
             flat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
             return {"a": _long(flat(a, np.uint64)), "b": _long(flat(b, np.uint64)), "id": flat(ids, np.int64)}
 
         return run
 
     windows = map_arrow(own, keys, "a long, b long, id long")
-    owned = windows.groupBy("a", "b").agg(F.min("id").alias("id")).groupBy("id").agg(F.collect_list("a").alias("owned"))
-    owned = scratch.save(owned, "owned")
-    scratch.release()
+    owned = scratch.save(windows.groupBy("a", "b").agg(F.min("id").alias("id")).groupBy("id").agg(F.collect_list("a").alias("owned")), "owned")
 
     def cut():
         reader = Reader(window, phrase)
 
         def run(rows):
-            out = {n: [] for n in ("id", "digest", "n_words", "n_removed", "kept_sha256", "removed")}
-            for i, text, digest, recurring, mine in zip(rows["id"], rows["text"], rows["digest"], rows["recurring"], rows["owned"]):
-                words = words_of(text)
-                if hashlib.sha256(b" ".join(words)).hexdigest() != digest:
-                    continue  # another row of this id
-                x, _, chosen = reader.read(words)
-                at = np.flatnonzero(np.isin(chosen, np.array(recurring, np.int64).view(np.uint64)))
-                at = at[~np.isin(_window_keys(x, window, _BASE_A)[at], np.array(mine or [], np.int64).view(np.uint64))]
+            out = {n: [] for n in ("id", "n_words", "n_removed", "kept_sha256", "removed")}
+            for k, words, x, at in streamed(reader, rows):
+                at = at[~np.isin(_window_keys(x, window, _BASE_A)[at], np.array(rows["owned"][k] or [], np.int64).view(np.uint64))]
                 step = np.zeros(len(words) + 1, np.int64)
                 step[at] += 1
                 step[at + window] -= 1
                 gone = np.cumsum(step[:-1]) > 0
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
                 kept = [w for w, g in zip(words, gone.tolist()) if not g]
-                for name, value in zip(out, (i, digest, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), edge)):
+                for name, value in zip(out, (rows["id"][k], len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), edge)):
                     out[name].append(value)
             return out
 
         return run
 
-    changed = map_arrow(own.join(owned, "id", "left"), cut, "id long, digest string, n_words long, n_removed long, kept_sha256 string, removed array<int>")
+    changed = map_arrow(own.join(owned, "id", "left"), cut, "id long, n_words long, n_removed long, kept_sha256 string, removed array<int>")
     copy = F.col("first_id").isNotNull() & (F.col("id") > F.col("first_id"))
     none = hashlib.sha256(b"").hexdigest()
-    rest = rows.join(holders.select("id", "digest"), ["id", "digest"], "left_anti").select("id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(copy, F.lit(none)).otherwise(F.col("digest")).alias("kept_sha256"), F.when(copy, F.array(F.lit(0), F.col("n_words").cast("int"))).otherwise(F.array().cast("array<int>")).alias("removed"))
-    return rest.unionByName(changed.drop("digest"))
+    rest = rows.join(holders.select("id", "digest"), ["id", "digest"], "left_anti").unionByName(seen.where(F.col("n_words") < window).withColumn("first_id", F.lit(None).cast("long")))
+    rest = rest.select("id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(copy, F.lit(none)).otherwise(F.col("digest")).alias("kept_sha256"), F.when(copy, F.array(F.lit(0), F.col("n_words").cast("int"))).otherwise(F.array().cast("array<int>")).alias("removed"))
+    return rest.unionByName(changed)
 
 
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
