@@ -8,15 +8,16 @@ rebuild() joins both into the bytes of the original record. All of it is native
 
 Defined results: a null html is an empty payload; a null url becomes `urn:page:<page_id>`; line breaks in a url are
 percent-encoded, so that a header stays one line; payloads of `min_bytes` or more that are equal share one response,
-the record of the smallest page_id; rows that repeat a page_id give a record each. A stored payload that fails its
-digest makes the read fail.
+the record of the smallest page_id; rows that repeat a page_id give a record each, with a record id of its own. A stored
+payload that fails its digest makes the read fail. A payload that very many pages share moves once: revisits are joined to
+a digest and a length, the most frequent ones by a broadcast.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, join_hot, table
 
 #: Fixed values of RFC 4648 and of the WARC format.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -49,15 +50,16 @@ def describe(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 def write_archive(pages: DataFrame, scratch: Scratch, min_bytes: int = MIN_BYTES, date: str = DATE) -> None:
     """pages: page_id, url, html. Hot payloads are reduced before the shuffle, and only ids and digests are joined."""
     keyed = describe(pages)
-    light = scratch.save(keyed.drop("payload"), "described")
-    first = light.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    joined = light.join(first, "digest")
+    light = scratch.save(keyed.drop("payload").withColumn("row", F.monotonically_increasing_id()), "described")
+    first = light.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("f"), F.count(F.lit(1)).alias("_n"))
+    first = scratch.save(first.select("digest", F.col("f.page_id").alias("first_id"), F.col("f.row").alias("first_row"), "_n"), "first")
+    joined = join_hot(light, first, "digest", "inner")
     revisit = (F.col("n_bytes") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(":"), F.substring("digest", 1, 16), F.lit(">"))
+    name = lambda c, row: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(":"), F.substring("digest", 1, 16), F.lit(":"), row.cast("string"), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\n"), _lines(("Content-Type", F.lit("text/html; charset=utf-8")), ("Content-Length", F.col("n_bytes").cast("string"))), F.lit("\r\n"))
     length = F.octet_length("http") + F.when(revisit, F.lit(0)).otherwise(F.col("n_bytes"))
-    common = lambda kind, extra: F.concat(F.lit("WARC/1.1\r\n"), _lines(("WARC-Type", F.lit(kind)), ("WARC-Record-ID", name(F.col("page_id"))), ("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url")), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))), *extra, ("Content-Type", F.lit("application/http; msgtype=response")), ("Content-Length", length.cast("string"))), F.lit("\r\n"))
-    head = F.when(revisit, common("revisit", [("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", name(F.col("first_id")))])).otherwise(common("response", []))
+    common = lambda kind, extra: F.concat(F.lit("WARC/1.1\r\n"), _lines(("WARC-Type", F.lit(kind)), ("WARC-Record-ID", name(F.col("page_id"), F.col("row"))), ("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url")), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))), *extra, ("Content-Type", F.lit("application/http; msgtype=response")), ("Content-Length", length.cast("string"))), F.lit("\r\n"))
+    head = F.when(revisit, common("revisit", [("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", name(F.col("first_id"), F.col("first_row")))])).otherwise(common("response", []))
     records = joined.withColumn("http", http).select("page_id", "digest", F.encode(F.concat(head, F.col("http")), "UTF-8").alias("header"))
     scratch.save(records, "records")
     # One copy of each payload; copies of a task's own rows go before the shuffle.
@@ -82,15 +84,29 @@ def rebuild(records: DataFrame, payloads: DataFrame) -> DataFrame:
     return full.withColumn("record", F.when(F.col("record_type") == "revisit", F.concat("header", end)).otherwise(F.concat("header", "payload", end)))
 
 
+def proven(rebuilt: DataFrame) -> DataFrame:
+    """Of response records as rebuild gives them, from the bytes of the record alone: payload_bytes, stored (the payload's SHA-1 in base32)."""
+    head = F.octet_length("header")
+    body = F.expr("substring(record, octet_length(header) + 1, octet_length(record) - octet_length(header) - 4)")
+    stated = F.regexp_extract(F.decode("header", "UTF-8"), r"Content-Length: (\d+)\r\n\r\n$", 1).cast("long")
+    exact = (F.octet_length("record") == head + F.octet_length(body) + 4) & (F.octet_length(body) == stated)
+    length = F.when(exact, F.octet_length(body).cast("long")).otherwise(F.raise_error(F.lit("a record is not as long as its headers say")).cast("long"))
+    return rebuilt.select("digest", "page_id", "payload_digest", "record_type", "refers_to", length.alias("payload_bytes"), base32_sha1(body).alias("stored"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), scratch)
     records, payloads = read_archive(scratch)
-    # The payload's digest is taken from the stored bytes; it must be that of the header, else the join loses the length.
-    proven = payloads.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("stored_sha1"))
-    out = records.join(proven, "digest", "left")
-    same = F.when(F.col("stored_sha1") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header names another digest than its payload has")))
-    return out.select("page_id", "payload_bytes", same.alias("payload_digest"), "record_type", "refers_to")
+    response = F.col("record_type") == "response"
+    built = scratch.save(proven(rebuild(records.where(response), payloads)), "rebuilt")
+    # Revisits have no payload of their own: length and digest are those of the rebuilt response.
+    known = built.groupBy("digest").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("stored").alias("stored"))
+    copies = records.where(~response).groupBy("digest").agg(F.count(F.lit(1)).alias("_n"))
+    known = scratch.save(known.join(copies, "digest"), "known")
+    again = join_hot(records.where(~response).select("digest", "page_id", "payload_digest", "record_type", "refers_to"), known, "digest")
+    same = F.when(F.col("stored") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header names another digest than its payload has")))
+    return built.unionByName(again).select("page_id", "payload_bytes", same.alias("payload_digest"), "record_type", "refers_to")
 
 
 _HEX = "sha1(coalesce(html, ''))"
