@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import map_arrow, table
 
 KINDS = ("email", "ip", "card", "phone")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# Runs are taken whole, with or without what makes them a span (group 1), so that a long run is read once.
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+)?")
+_IP = re.compile(r"[0-9]++(\.[0-9]++\.[0-9]++\.[0-9]++)?")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -59,11 +60,11 @@ _AT = r"(?:[\[({<]\s*(?:at|@|ät|arroba|arobase)\s*[\])}>]|\s+(?:at|arroba|aroba
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+)"
 #: An address whose separators are disguised: local part, at, labels with at least one dot. A plain "at" needs a disguised dot.
 _ADDRESS = re.compile(
-    rf"(?P<local>[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*)(?P<at>\s*{_AT}\s*|\s*@\s*)(?P<host>[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+)", re.I)
+    rf"(?<![A-Za-z0-9_%+-])(?P<local>[A-Za-z0-9_%+-]++(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*)(?P<at>\s*{_AT}\s*|\s*@\s*)(?P<host>[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+)", re.I)
 #: What the transducers need at least: an at or a dot in brackets, an @ beside white space.
 _SIGNS = re.compile(r"[\[({<]\s*(?:at|@|ät|arroba|arobase|dot|\.|punkt|punto|point)\s*[\])}>]|\s@|@\s", re.I)
 _DISGUISED_DOT = re.compile(_DOT, re.I)
-_NUMBERED = re.compile(rf"[0-9]+(?:{_DOT}[0-9]+){{3}}", re.I)
+_NUMBERED = re.compile(rf"(?<![0-9])[0-9]++(?:{_DOT}[0-9]+){{3}}", re.I)
 #: Words that no address has right after a plain "at".
 _NO_HOST = frozenset("the a an this that these those my our your his her its their".split())
 _DOTS = frozenset((b"dot", b"punkt", b"punto", b"point"))
@@ -91,10 +92,10 @@ def find(text: str) -> list[tuple[str, int, int]]:
     """The base spans (kind, start, end), by kind as listed and start."""
     out = []
     if "@" in text:
-        out += [("email", *m.span()) for m in _EMAIL.finditer(text)]
+        out += [("email", *m.span()) for m in _EMAIL.finditer(text) if m[1]]
     if _DIGIT.search(text):
         if "." in text:
-            out += [("ip", *m.span()) for m in _IP.finditer(text) if _octets(m[0])]
+            out += [("ip", *m.span()) for m in _IP.finditer(text) if m[1] and _octets(m[0])]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):

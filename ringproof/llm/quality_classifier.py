@@ -173,8 +173,7 @@ def classified(docs: DataFrame, labels: DataFrame, host: Column, path: Column, i
     models = {t: fit(sample, t) for t in TARGETS}
     named = {f"_rp_{i}": c for i, c in enumerate(keep)}
     rows = docs.select(*[F.col(c).alias(n) for n, c in named.items()], F.coalesce(host.cast("string"), F.lit("")).alias("_host"), F.coalesce(path.cast("string"), F.lit("")).alias("_path"), F.col(text_col).alias("text"))
-    fixed = scratch.save(scores(rows.select("_host", "_path", "text"), models, ["_host", "_path"]), "evidence")
-    out = scores(rows, models, [*named, "_host", "_path"])
+    out = fixed = scratch.save(scores(rows, models, [*named, "_host", "_path"]), "evidence")
     for t in TARGETS:
         sites = scratch.save(site_posteriors(fixed.select(F.col("_host").alias("host"), F.col("_path").alias("path"), t), t).withColumnsRenamed({"host": "_host", "path": "_path"}), f"sites-{t}")
         out = with_posterior(out, sites, t)
