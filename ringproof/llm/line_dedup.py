@@ -24,8 +24,6 @@ from .common import BROADCAST_ROWS, Scratch, join_hot, parts, table
 MIN_DOCS = 10
 MIN_KEY = 1
 BATCHES = 4
-#: Hashes of frequent lines that are broadcast with their documents at most.
-BROADCAST_HASHES = 200_000
 _BLANKS = "\t\n\x0b\x0c\r "
 
 
@@ -127,9 +125,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A row has 24 bytes. Beyond the bound the most frequent lines are joined apart, since they are hot by their nature.
     found = lines_in.join(F.broadcast(frequent), "h", "left_semi") if frequent.count() <= BROADCAST_ROWS else join_hot(lines_in, frequent, "h", "inner")
     hits = scratch.save(found.groupBy("id").agg(F.collect_set("h").alias("_rp_hot")), "hits")
-    size = hits.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("_rp_hot")), F.lit(0))).first()[0]
     hits = hits.withColumnRenamed("id", "_rp_id")
-    joined = docs.join(F.broadcast(hits) if size <= BROADCAST_HASHES else hits, docs[id_col].eqNullSafe(hits["_rp_id"]), "left").drop("_rp_id")
+    joined = docs.join(hits, docs[id_col].eqNullSafe(hits["_rp_id"]), "left").drop("_rp_id")
     lines = lines_of(F.col(text_col))
     kept = F.when(F.col("_rp_hot").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_rp_hot"), line_hash(x, min_key)), F.lit(False))))
     return joined.withColumns({"_rp_lines": F.size(lines).cast("long"), "_rp_kept": kept}).drop("_rp_hot")
