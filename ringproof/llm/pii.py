@@ -58,9 +58,10 @@ _RUN = re.compile(rf"(?<![\w])(?:plus[\s-]+)?{_ONE}(?:[\s,.·/-]+{_ONE})+(?!\w)"
 _SPELLED = re.compile(r"\w+", re.I)
 _AT = r"(?:[\[({<]\s*(?:at|@|ät|arroba|arobase)\s*[\])}>]|\s+(?:at|arroba|arobase|klammeraffe)\s+)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+)"
-#: An address whose separators are disguised: local part, at, labels with at least one dot. A plain "at" needs a disguised dot.
+#: An address whose separators are disguised: local part (nine words at most), at, two to eleven labels. A plain "at" needs a
+#: disguised dot. The bounds keep the time linear in a long run of words and dots.
 _ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9_%+-])(?P<local>[A-Za-z0-9_%+-]++(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*)(?P<at>\s*{_AT}\s*|\s*@\s*)(?P<host>[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+)", re.I)
+    rf"(?<![A-Za-z0-9_%+-])(?P<local>[A-Za-z0-9_%+-]++(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]++){{0,8}})(?P<at>\s*{_AT}\s*|\s*@\s*)(?P<host>[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++){{1,10}})", re.I)
 #: What the transducers need at least: an at or a dot in brackets, an @ beside white space.
 _SIGNS = re.compile(r"[\[({<]\s*(?:at|@|ät|arroba|arobase|dot|\.|punkt|punto|point)\s*[\])}>]|\s@|@\s", re.I)
 _DISGUISED_DOT = re.compile(_DOT, re.I)
