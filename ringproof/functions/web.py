@@ -32,8 +32,10 @@ def encode_path(value: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """Scheme and host in lower case, no fragment, no tracking or blank parameters, the others encoded anew."""
     url = F.btrim(url)
+    # A stray % stands for itself: a decoder would refuse the whole parameter.
+    asked = F.regexp_replace(part(url, 4), "%(?![0-9A-Fa-f]{2})", "%25")
     pair = lambda p: F.struct(F.try_url_decode(F.substring_index(p, "=", 1)).alias("k"), F.try_url_decode(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise(F.lit(""))).alias("v"))
-    pairs = F.filter(F.transform(F.split(part(url, 4), "&"), pair), lambda p: (p["v"] != "") & ~p["k"].rlike(TRACKING))
+    pairs = F.filter(F.transform(F.split(asked, "&"), pair), lambda p: (p["v"] != "") & ~p["k"].rlike(TRACKING))
     query = F.array_join(F.transform(pairs, lambda p: F.concat(encode_query(p["k"]), F.lit("="), encode_query(p["v"]))), "&")
     return F.concat(
         F.when(part(url, 1) != "", F.concat(F.lower(part(url, 1)), F.lit(":"))).otherwise(F.lit("")),

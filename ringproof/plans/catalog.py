@@ -214,8 +214,7 @@ def search_links(spark, sf_dir):
 
 def _feeds(spark, sf_dir) -> DataFrame:
     """A feed document for each fight's first search address: an item for each report; odd quantities name one boxer only, and the second line of a fight is dated too late."""
-    prose.tables(spark, sf_dir, "orders", "lineitem")
-    p = spark.sql(prose.PARAMS)
+    p = prose.read(spark, sf_dir, prose.PARAMS)
     when = F.date_format(F.expr("case when source_id = 2 then date_add(event_date, 90) else date_add(event_date, source_id - 2) end"), "yyyy-MM-dd")
     title = F.when(F.col("q") % 2 == 0, F.concat("w", F.lit(" beats "), "l")).otherwise(F.concat(F.lit("Only "), "w"))
     item = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>https://www.espn.com/"), F.col("fight_id").cast("string"), F.lit("/"), F.col("source_id").cast("string"), F.lit("</link><description>&lt;p&gt;News&lt;/p&gt;</description><pubDate>"), when, F.lit("</pubDate></item>"))
@@ -245,8 +244,7 @@ def matched_feed_items(spark, sf_dir):
 
 def _record_pages(spark, sf_dir) -> DataFrame:
     """A record page for each first name and surname: a table row for each fight of side A, cited by a note."""
-    prose.tables(spark, sf_dir, "orders")
-    f = spark.sql(prose.FIGHTS_SQL).withColumn("k", F.col("fight_id") % 4)
+    f = prose.read(spark, sf_dir, prose.FIGHTS_SQL).withColumn("k", F.col("fight_id") % 4)
     result, kind = F.expr(prose.case("k", ["Win", "Loss", "Draw", "Win"])), F.expr(prose.case("k", ["KO", "UD", "SD", "TKO"]))
     cell = F.expr(prose.case("k", ["6 (12), 1:30", "10", "12", "3 (10)"]))
     fid = F.col("fight_id").cast("string")
@@ -387,8 +385,7 @@ def retrieval_summary(spark, sf_dir):
 
 @query(_with(f"""select fight_id, case when q % 3 = 0 and fight_id in (select fight_id from p where q % 3 > 0) then '{prose.CARDS}' when q % 3 = 0 then '116-112,115-113' else '{prose.CARDS}' end as value_key, count(*) as n from p group by all"""))
 def merged_scorecards(spark, sf_dir):
-    prose.tables(spark, sf_dir, "orders", "lineitem")
-    p = spark.sql(prose.PARAMS)
+    p = prose.read(spark, sf_dir, prose.PARAMS)
     part = F.when(F.col("q") % 3 == 0, "116-112,115-113").otherwise(prose.CARDS)
     ev = p.select("fight_id", "source_id", F.lit("scorecards").alias("field"), part.alias("value_key"), part.alias("display"), F.col("source_id").alias("ord"))
     return grading.merge_partial_scorecards(ev).groupBy("fight_id", "value_key").agg(F.count(F.lit(1)).alias("n"))

@@ -38,15 +38,16 @@ PARAMS = f"""
   from ({REPORTS_SQL}) r join ({FIGHTS_SQL}) f on r.fight_id = f.fight_id"""
 
 
-def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    for n in names:
-        spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
+def read(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The rows of a statement over the order tables; no view of the session is touched."""
+    for n in ("orders", "lineitem"):
+        sql = sql.replace(f"from {n}", f"from {{{n}}}")
+    return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "lineitem")})
 
 
 def fights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fight_id, event_date, boxer_a, boxer_b, event_name, a, b."""
-    tables(spark, sf_dir, "orders")
-    out = spark.sql(FIGHTS_SQL)
+    out = read(spark, sf_dir, FIGHTS_SQL)
     return out.select("fight_id", "event_date", F.col("name_a").alias("boxer_a"), F.col("name_b").alias("boxer_b"), F.concat("sur_a", F.lit(" vs "), "sur_b").alias("event_name"), boxer_of(F.col("name_a"), F.col("name_a")).alias("a"), boxer_of(F.col("name_b"), F.col("name_b")).alias("b"))
 
 
@@ -73,8 +74,7 @@ def body(w: str = "w", loser: str = "l") -> Column:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fight_id, source_id, url, title, published, event_date, event_name, a, b, body."""
-    tables(spark, sf_dir, "orders", "lineitem")
-    p = spark.sql(PARAMS)
+    p = read(spark, sf_dir, PARAMS)
     url = F.concat(F.lit("https://www."), F.expr(case("dom", [d for d, _, _ in dims.DOMAINS])), F.lit("/report/"), F.col("fight_id").cast("string"), F.lit("/"), F.col("source_id").cast("string"))
     title = F.when(F.col("q") % 2 == 0, F.concat("w", F.lit(" beats "), "l")).otherwise(F.concat("sur_a", F.lit(" meets "), "sur_b"))
     return p.select("fight_id", F.col("source_id").cast("int").alias("source_id"), url.alias("url"), title.alias("title"), F.expr("date_add(event_date, source_id - 3)").alias("published"), "event_date", F.concat("sur_a", F.lit(" vs "), "sur_b").alias("event_name"), boxer_of(F.col("name_a"), F.col("name_a")).alias("a"), boxer_of(F.col("name_b"), F.col("name_b")).alias("b"), body().alias("body"))

@@ -19,21 +19,20 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGES).parquet(path)
 
 
-def host_domains(hosts: DataFrame) -> DataFrame:
-    """host, domain: the first domain of the table that a host is or lies under. hosts: host, distinct. An equi-join on host suffixes."""
-    table = F.broadcast(dims.domains(hosts.sparkSession))
-    near = hosts.select("host", F.explode(host_suffixes(F.col("host"))).alias("domain")).join(table.select("domain", "pos"), "domain")
-    return near.groupBy("host").agg(F.min_by("domain", "pos").alias("domain"))
+def domain_at(host: Column) -> Column:
+    """The place in the table of the first domain that a host is or lies under, or null. The table is a literal: no join."""
+    places = F.create_map(*[F.lit(x) for i, (d, _, _) in enumerate(dims.DOMAINS) for x in (d, i)])
+    return F.array_min(F.transform(host_suffixes(host), lambda s: F.try_element_at(places, s)))
 
 
 def attach_sources(df: DataFrame, url: str = "url") -> DataFrame:
-    """Adds host, domain, name, tier, publisher. Hosts are resolved once each."""
-    keyed = df.withColumn("host", host_of(F.col(url)))
-    named = host_domains(keyed.select("host").distinct()).join(F.broadcast(dims.domains(df.sparkSession).select("domain", "name", "tier")), "domain")
+    """Adds host, domain, name, tier, publisher."""
+    out = df.withColumn("host", host_of(F.col(url))).withColumn("_at", domain_at(F.col("host")))
+    of = lambda k: F.get(F.array(*[F.lit(d[k]) for d in dims.DOMAINS]), F.col("_at"))
     aliases = F.create_map(*[F.lit(x) for kv in dims.PUBLISHER_ALIASES.items() for x in kv])
-    out = keyed.join(named, "host", "left")
+    out = out.withColumns({"domain": of(0), "name": F.coalesce(of(1), "host"), "tier": F.coalesce(of(2), F.lit("Other"))})
     domain = F.coalesce("domain", "host")
-    return out.withColumns({"publisher": F.coalesce(F.try_element_at(aliases, domain), domain), "name": F.coalesce("name", "host"), "tier": F.coalesce("tier", F.lit("Other"))})
+    return out.withColumn("publisher", F.coalesce(F.try_element_at(aliases, domain), domain)).drop("_at")
 
 
 def allowed(df: DataFrame, url: str = "url") -> DataFrame:
