@@ -126,7 +126,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = lines_in.join(F.broadcast(frequent), "h", "left_semi") if frequent.count() <= BROADCAST_ROWS else join_hot(lines_in, frequent, "h", "inner")
     hits = scratch.save(found.groupBy("id").agg(F.collect_set("h").alias("_rp_hot")), "hits")
     hits = hits.withColumnRenamed("id", "_rp_id")
-    joined = docs.join(hits, docs[id_col].eqNullSafe(hits["_rp_id"]), "left").drop("_rp_id")
+    # The same join at every size; hits have a row a document, so that a part of them fits in a task.
+    joined = docs.join(hits.hint("shuffle_hash"), docs[id_col].eqNullSafe(hits["_rp_id"]), "left").drop("_rp_id")
     lines = lines_of(F.col(text_col))
     kept = F.when(F.col("_rp_hot").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_rp_hot"), line_hash(x, min_key)), F.lit(False))))
     return joined.withColumns({"_rp_lines": F.size(lines).cast("long"), "_rp_kept": kept}).drop("_rp_hot")
