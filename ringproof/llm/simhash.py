@@ -65,12 +65,17 @@ def shingle_hashes(text: str | None, width: int = WIDTH, words: list[bytes] | No
 
 def fingerprint(hashes: np.ndarray) -> int:
     """A bit is set if it is set in over half the hashes."""
+    return _majority(hashes.reshape(-1, 1))[0]
+
+
+def _majority(hashes: np.ndarray) -> list[int]:
+    """The fingerprint of each column. 255 rows at a time, which a byte can count."""
     if not len(hashes):
-        return 0
-    total = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 4096):
-        total += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+        return [0] * hashes.shape[1]
+    total = np.zeros(64 * hashes.shape[1], np.int64)
+    for i in range(0, len(hashes), 255):
+        total += np.unpackbits(hashes[i : i + 255].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > len(hashes), bitorder="little").view("<u8").tolist()
 
 
 def _signed(x: int) -> int:
@@ -85,8 +90,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def make():
         def run(rows):
             hashes = [np.unique(shingle_hashes(t, width)) if wide else shingle_hashes(t, width) for t in rows["text"]]
-            more = [[_signed(fingerprint(_mixed(h, k))) for k in _MIXERS] if wide else [] for h in hashes]
-            fps = [_signed(fingerprint(h)) for h in hashes]
+            found = [[_signed(x) for x in _majority(np.column_stack([h, *[_mixed(h, k) for k in _MIXERS]]) if wide else h.reshape(-1, 1))] for h in hashes]
+            fps, more = [x[0] for x in found], [x[1:] for x in found]
             node = [_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)) for h in hashes] if wide else fps
             return {"id": rows["id"], "fp": fps, "more": more, "node": node}
 
@@ -165,7 +170,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, wide_radi
     if not split:
         return distinct.select(F.col("node").alias("a"), F.col("node").alias("b"))
     chunks = F.create_map(*[F.lit(int(x)) for kv in split.items() for x in kv])
-    members = F.collect_list(F.struct("node", "fp", "more"))
+    # In order of node: a tile is made once for each side of the join, and its members must have the same places on both.
+    members = F.sort_array(F.collect_list(F.struct("node", "fp", "more")))
     tiles = counted.withColumn("c", F.pmod(F.xxhash64("node"), chunks[F.col("p")]).cast("int")).groupBy("p", "c").agg(members.alias("m"))
     tiles = tiles.select((F.col("p").cast("long") * STRIDE + F.col("c")).alias("t"), "p", F.col("m.node").alias("nodes"), F.col("m.fp").alias("fps"), F.flatten("m.more").alias("more"))
     # The partners of a tile: itself and later tiles of its own and the next `radius` population counts.
@@ -205,7 +211,7 @@ def classes(prints: DataFrame, scratch: Scratch, radius: int = RADIUS, tile: int
 def similar_classes(prints: DataFrame, texts: DataFrame, scratch: Scratch, width: int, tile: int = TILE) -> DataFrame:
     """node, component_id: components over the pairs of texts whose sets of shingles have a similarity of SIMILAR or more.
 
-    prints: as fingerprints gives with wide, a written table. texts: id, text, an id for each row of prints.
+    prints: as fingerprints gives with wide, a written table, whose rows may repeat. texts: id, text, a row for each id.
 
     Fingerprints give candidates, of which each link is tested on the shingles. A forest of the candidates is tested
     first. Where all of a group's edges hold, its members are one class; in the other groups all candidates between
