@@ -25,7 +25,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _wordless():
-    return F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) == 0
+    return ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
 
 
 def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +46,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     scratch = Scratch(spark, "pipeline-simhash")
     keyed = _keyed(docs)
     worded = keyed.where(~_wordless())
-    distinct = worded.groupBy(KEY).agg(F.first("text").alias("text"))
-    known = scratch.save(simhash.fingerprints(distinct, KEY, width=SHINGLE, wide=True), "prints")
-    texts = distinct.select(F.col(KEY).alias("id"), "text")
+    # Of all rows, copies too: no text moves for it.
+    known = scratch.save(simhash.fingerprints(worded, KEY, width=SHINGLE, wide=True), "prints")
+    texts = worded.groupBy(F.col(KEY).alias("id")).agg(F.first("text").alias("text"))
     found = simhash.similar_classes(known, texts, scratch, SHINGLE)
-    classes = scratch.save(known.join(found, "node").select(F.col("id").alias(KEY), "component_id"), "classes")
+    classes = scratch.save(known.select(F.col("id").alias(KEY), "node").distinct().join(found, "node").drop("node"), "classes")
     # Of each text the row of the smallest id, then of each class the text of the smallest id; null ids come last.
     least = worded.groupBy(KEY).agg(F.min("doc_id").alias("doc_id")).join(classes, KEY)
     first = least.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)).alias("f"))
