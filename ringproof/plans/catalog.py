@@ -27,8 +27,9 @@ def query(sql: str | None = None):
     return add
 
 
-def _report(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return report.match_report(prose.fights(spark, sf_dir), prose.articles(spark, sf_dir), normalised=True)
+def _report(spark: SparkSession, sf_dir: str, *written: str) -> dict[str, DataFrame]:
+    """written: the tables of facts that a query reads more than once."""
+    return report.match_report(prose.fights(spark, sf_dir), prose.articles(spark, sf_dir), normalised=True, written=written)
 
 
 # --- What the reports were made of, as SQL ------------------------------------------------------------------------
@@ -84,7 +85,7 @@ def _with(select: str) -> str:
 @query(_with(f"select fight_id, field, {_STATUS} as status, value, source_ids, n_values from grid"))
 def match_report_fields(spark, sf_dir):
     """W-I: reports to graded fields, every fight with every field."""
-    grid = _report(spark, sf_dir)["field_results"]
+    grid = _report(spark, sf_dir, "facts")["field_results"]
     return grid.select("fight_id", "field", "status", "value", F.array_join(F.col("source_ids").cast("array<string>"), ",").alias("source_ids"), F.coalesce(F.size("alternatives"), F.lit(0)).cast("bigint").alias("n_values"))
 
 
@@ -110,7 +111,7 @@ _WM = "(select fight_id, max(case when field = 'winner' then rank end) as w, max
   case when w = 1 then 'No source stated the result of this fight.' when w = 0 or m = 0 then 'Sources disagree on the result or method — review the conflicts below.'
        when m = 1 then 'Result is ' || lower({_MIN_STATUS('w')}) || '; the method was not found.' else 'Weakest of result (' || lower({_MIN_STATUS('w')}) || ') and method (' || lower({_MIN_STATUS('m')}) || ').' end as reason from {_WM}"""))
 def overall_confidence(spark, sf_dir):
-    return _report(spark, sf_dir)["overall"]
+    return _report(spark, sf_dir, "facts")["overall"]
 
 
 @query(_with("""
@@ -120,12 +121,12 @@ def overall_confidence(spark, sf_dir):
   union all select fight_id, 2, k.round, victim, 'Knockdown reported in round ' || k.round || ', after the recorded final round ' || r.value || '.' from kd k join res r using (fight_id) where r.field = 'round' and r.rank > 0 and k.round > r.value::int
 ) select fight_id, string_agg(text, chr(10) order by kind, a, b, text) as conflicts from texts group by fight_id""".replace("FIGHTS", prose.FIGHTS_SQL)))
 def conflict_list(spark, sf_dir):
-    return _report(spark, sf_dir)["conflicts"].select("fight_id", F.array_join("conflicts", "\n").alias("conflicts"))
+    return _report(spark, sf_dir, "facts", "knockdown_facts")["conflicts"].select("fight_id", F.array_join("conflicts", "\n").alias("conflicts"))
 
 
 @query(_with("select f.fight_id, exists (select 1 from facts x where x.fight_id = f.fight_id) as found_anything from (" + prose.FIGHTS_SQL + ") f"))
 def found_anything(spark, sf_dir):
-    return _report(spark, sf_dir)["found"]
+    return _report(spark, sf_dir, "facts")["found"]
 
 
 @query(_with("select fight_id from (" + prose.FIGHTS_SQL + ") f where fight_id not in (select fight_id from facts) and fight_id not in (select fight_id from downs)"))
@@ -137,12 +138,12 @@ def fights_without_facts(spark, sf_dir):
 @query(_with(f"""select fight_id, case when r <> 1 and t <> 1 then 'Round ' || rv || ', ' || tv when r <> 1 then 'Round ' || rv else 'Not found' end as value, case when r <> 1 then {_MIN_STATUS('least(r, t)')} else 'Not found' end as status
   from (select fight_id, max(case when field = 'round' then rank end) as r, max(case when field = 'round' then value end) as rv, max(case when field = 'time' then rank end) as t, max(case when field = 'time' then value end) as tv from grid group by fight_id)"""))
 def round_time_display(spark, sf_dir):
-    return grading.round_time_display(_report(spark, sf_dir)["field_results"])
+    return grading.round_time_display(_report(spark, sf_dir, "facts")["field_results"])
 
 
 @query(_with("select res.fight_id, field, string_agg('[' || s.source_id || '] ' || s.name, '; ' order by s.source_id) as links from res join src s on s.fight_id = res.fight_id and list_contains(res.ids, s.source_id) group by res.fight_id, field"))
 def resolved_source_links(spark, sf_dir):
-    found = _report(spark, sf_dir)
+    found = _report(spark, sf_dir, "facts")
     return grading.resolve_source_links(found["field_results"], found["sources"])
 
 
