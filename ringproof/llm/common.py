@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a side is broadcast by join_sized; above it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Bytes up to which a side is broadcast by join_bounded.
+BROADCAST_BYTES = 16 << 20
 #: Keys that join_hot takes apart at most.
 HOT_KEYS = 1000
 
@@ -91,6 +93,12 @@ def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str, most:
     return left.join(F.broadcast(right) if right.count() <= most else right, on, how)
 
 
+def join_bounded(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcasts right if its strings and other columns make at most `most` bytes (summed first: right should be a written table); shuffles both sides beyond."""
+    row = 8 * len(right.columns) + sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, kind in right.dtypes if kind in ("string", "binary")), F.lit(0))
+    return left.join(F.broadcast(right) if (right.agg(F.sum(row)).first()[0] or 0) <= most else right, on, how)
+
+
 def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "left", n: str = "_n") -> DataFrame:
     """left joined to right (one row a key, a written table); right[n] is how many rows of left have the key, and goes.
 

@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 from __future__ import annotations
 
-from . import clusters, decontaminate, language_model, line_dedup, passages, pieces, pii, quality_classifier, quality_rules, simhash, warc
+from . import clusters, decontaminate, language_model, line_dedup, mixing, passages, pieces, pii, quality_classifier, quality_rules, simhash, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_language_model": language_model.op10_language_model,
     "op12_clusters": clusters.op12_clusters,
+    "op13_mix": mixing.op13_mix,
 }
 SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
@@ -22,4 +23,5 @@ SQL = {
     "op6_warc": warc.OP6_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op12_clusters": clusters.OP12_SQL,
+    "op13_mix": mixing.OP13_SQL,
 }
