@@ -93,10 +93,15 @@ def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str, most:
     return left.join(F.broadcast(right) if right.count() <= most else right, on, how)
 
 
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of df, a written table, have at most `most` bytes: 8 a column and those of its strings."""
+    row = F.lit(8 * len(df.columns)) + sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")), F.lit(0))
+    return (df.agg(F.sum(row)).first()[0] or 0) <= most
+
+
 def join_bounded(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcasts right if its strings and other columns make at most `most` bytes (summed first: right should be a written table); shuffles both sides beyond."""
-    row = 8 * len(right.columns) + sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, kind in right.dtypes if kind in ("string", "binary")), F.lit(0))
-    return left.join(F.broadcast(right) if (right.agg(F.sum(row)).first()[0] or 0) <= most else right, on, how)
+    """Broadcasts right, a written table, if it is bounded; shuffles both sides beyond."""
+    return left.join(F.broadcast(right) if bounded(right, most) else right, on, how)
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: str, how: str = "left", n: str = "_n") -> DataFrame:

@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 from __future__ import annotations
 
-from . import clusters, decontaminate, language_model, line_dedup, mixing, passages, pieces, pii, quality_classifier, quality_rules, simhash, warc
+from . import clusters, decontaminate, divergence, language_model, line_dedup, mixing, passages, pieces, pii, quality_classifier, quality_rules, simhash, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_language_model": language_model.op10_language_model,
+    "op11_source_divergence": divergence.op11_source_divergence,
     "op12_clusters": clusters.op12_clusters,
     "op13_mix": mixing.op13_mix,
 }
@@ -22,6 +23,7 @@ SQL = {
     "op5_passages": passages.OP5_SQL,
     "op6_warc": warc.OP6_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
     "op12_clusters": clusters.OP12_SQL,
     "op13_mix": mixing.OP13_SQL,
 }
