@@ -348,29 +348,38 @@ def admitted_responses(spark, sf_dir):
     return snapshot.admit_responses(r).select("page_id", "outcome")
 
 
-@query("""select page_id, case when page_id % 6 = 4 then 'https://www.espn.com/' || page_id || '/4' when page_id % 6 = 5 then 'https://evil.net/' || page_id else 'https://www.espn.com/' || page_id || '/' || (page_id % 6) end as final_url,
- case when page_id % 6 = 4 then 'redirects' when page_id % 6 = 5 then 'domain not allowed' end as error from pages""")
+@query("""select page_id, case when n = 4 then 'https://www.espn.com/' || page_id || '/4' when n = 5 then 'https://evil.net/' || page_id when n = 6 then 'https://www.espn.com/' || page_id || '/0' else 'https://www.espn.com/' || page_id || '/' || n end as final_url,
+ case when n in (4, 6) then 'redirects' when n = 5 then 'domain not allowed' end as error from (select page_id, page_id % 7 as n from pages)""")
 def resolved_redirects(spark, sf_dir):
-    """Chains of up to four hops, relative but for one that leaves the known domains."""
+    """Chains of up to four hops, relative but for one that leaves the known domains, and circles of two."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
-    k, n = F.col("page_id"), F.col("page_id") % 6
-    hop = p.select("page_id", F.explode(F.sequence(F.lit(0), F.least(n, F.lit(4)).cast("int"))).alias("i"))
+    k, n, i = F.col("page_id"), F.col("page_id") % 7, F.col("i")
+    hop = p.select("page_id", F.explode(F.sequence(F.lit(0), F.when(n == 6, 1).otherwise(F.least(n, F.lit(4))).cast("int"))).alias("i"))
     url = lambda i: F.concat(F.lit("https://www.espn.com/"), k.cast("string"), F.lit("/"), i.cast("string"))
-    more = (F.col("i") < n) | (n == 5)
-    log = hop.select(url(F.col("i")).alias("url"), F.when(more, 302).otherwise(200).alias("status"), F.when(n == 5, F.concat(F.lit("https://evil.net/"), k.cast("string"))).when(more, F.concat(F.lit("/"), k.cast("string"), F.lit("/"), (F.col("i") + 1).cast("string"))).alias("location"))
+    path = lambda i: F.concat(F.lit("/"), k.cast("string"), F.lit("/"), i.cast("string"))
+    more = (i < n) | (n == 5)
+    log = hop.select(url(i).alias("url"), F.when(more, 302).otherwise(200).alias("status"), F.when(n == 5, F.concat(F.lit("https://evil.net/"), k.cast("string"))).when(n == 6, path(1 - i)).when(more, path(i + 1)).alias("location"))
     wanted = p.select("page_id", url(F.lit(0)).alias("url"))
     return snapshot.resolve_redirects(log, wanted).join(wanted, "url").select("page_id", "final_url", "error")
 
 
-@query("""select page_id, case page_id % 6 when 0 then 'allow' when 1 then 'deny' when 2 then 'deny' when 3 then case when page_id % 4 = 3 then 'deny' else 'allow' end when 4 then 'slow' else 'deny' end as verdict from pages""")
+# Made of page_id: the host, of nine, the folder, and a name that may end in .pdf.
+_ROBOTS = {
+    0: (404, None), 1: (403, None), 2: (500, None), 5: (None, None), 4: (200, "User-agent: *\nCrawl-delay: 60"),
+    3: (200, "User-agent: *\nDisallow: /private/\nAllow: /private/public/ # but these\nDisallow: /*.pdf$"),
+    6: (200, "User-agent: ResultReports\nDisallow: /open/\n\nUser-agent: *\nDisallow: /"), 7: (200, "user-agent: *\r\ndisallow: /files/\r\nallow: /files/\r\ndisallow: /private/pub*/7"), 8: (200, "User-agent: Other\nDisallow: /\n\nUser-agent: *\nDisallow:\nCrawl-delay: 5"),
+}
+
+
+@query("""select page_id, case page_id % 9 when 0 then 'allow' when 4 then 'slow' when 8 then 'allow' when 3 then case when d = 0 then 'deny' when d = 2 then 'allow' when page_id % 5 = 0 then 'deny' else 'allow' end
+ when 6 then case when d = 1 then 'deny' else 'allow' end when 7 then case when d = 2 and cast(page_id as varchar) like '7%' then 'deny' else 'allow' end else 'deny' end as verdict from (select page_id, page_id // 9 % 4 as d from pages)""")
 def robots_verdicts(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
+    """Nine kinds of robots files: longest rules, stars and ends, ties, groups for one agent, hosts that can't be reached."""
     k = F.col("page_id")
-    asked = p.select("page_id", F.concat(F.lit("https://h"), (k % 6).cast("string"), F.lit(".net/"), F.when(k % 4 == 3, "private/").otherwise("open/"), k.cast("string")).alias("url"))
-    hosts = p.select((k % 6).alias("h")).distinct()
-    h = F.col("h")
-    robots = hosts.select(F.concat(F.lit("h"), h.cast("string"), F.lit(".net")).alias("host"), F.expr("case h when 0 then 404 when 1 then 403 when 2 then 500 when 3 then 200 when 4 then 200 end").alias("status"), F.when(h == 3, "User-agent: *\nDisallow: /private/").when(h == 4, "User-agent: *\nCrawl-delay: 60").alias("body"))
-    return snapshot.robots_verdict(asked, robots).select("page_id", "verdict")
+    folder = F.get(F.array(*map(F.lit, ("private/", "open/", "private/public/", "files/"))), (F.expr("page_id div 9") % 4).cast("int"))
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat(F.lit("https://h"), (k % 9).cast("string"), F.lit(".net/"), folder, k.cast("string"), F.when(k % 5 == 0, ".pdf").otherwise("")).alias("url"))
+    robots = spark.createDataFrame([(f"h{h}.net", status, body) for h, (status, body) in _ROBOTS.items()], "host string, status int, body string")
+    return snapshot.robots_verdict(p, robots).select("page_id", "verdict")
 
 
 @query()
