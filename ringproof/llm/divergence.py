@@ -4,9 +4,10 @@ Terms are runs of letters. The terms that a language keeps, those in enough of i
 distinct documents of every prefix of `LEVELS[k]` bytes are counted, prefixes in too few documents are discarded, and only
 terms whose prefix survived are looked at on the next level, with longer prefixes. A term carries an end mark, so a prefix
 that holds the mark is a complete term, which is kept or discarded for good. Since a term is in no more documents than its
-prefix, nothing is lost. A document gives each of its prefixes once, so documents are never brought together: counts are
-combined before the shuffle, and the survivors of a level reach the documents by a broadcast, if their bytes allow it; else
-the counts of the next level are joined to them.
+prefix, nothing is lost. A document gives each of its prefixes once: its terms are sorted, so a prefix is new where a term
+shares fewer bytes than that with the term before it. Documents are never brought together: counts are combined before the
+shuffle, and the survivors of a level reach the documents by a broadcast, if their bytes allow it; else the counts of the
+next level are joined to them.
 
 Kept terms are counted by language and source, and shares p, in thousand millionths, are whole numbers. Sources of a
 language are compared in blocks of at most BLOCK by BLOCK sources and about SLICE terms: each such group is a matrix in a
@@ -20,6 +21,7 @@ that repeat a doc_id; a language that keeps no term has distances of 0 and no `t
 """
 from __future__ import annotations
 
+import os
 from collections import Counter
 
 import numpy as np
@@ -34,7 +36,9 @@ SMOOTH = 5
 SCALE = 1_000_000_000
 TOP = 50
 #: Bytes of a prefix, level by level; beyond the last, twice as many each level.
-LEVELS = (2, 4, 6, 9, 13, 20)
+LEVELS = (3, 6, 10, 16, 24)
+#: Bytes of a term that are compared at once.
+WIDE = 24
 BLOCK = 128
 SLICE = 512
 _END = "\0"
@@ -42,36 +46,50 @@ _END = "\0"
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def _common(terms: list[bytes], starts: np.ndarray) -> np.ndarray:
+    """How many bytes each term shares with the one before it; 0 at the starts. Terms are sorted between starts, and end in the end mark."""
+    out = np.zeros(len(terms), np.int32)
+    if len(terms) > 1:
+        wide = np.array(terms, f"S{WIDE}").view(np.uint8).reshape(len(terms), WIDE)
+        differs = wide[1:] != wide[:-1]
+        out[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), WIDE)
+        for k in np.flatnonzero(out == WIDE):  # rare: alike in their first bytes
+            out[k] = len(os.path.commonprefix((terms[k - 1], terms[k])))
+    out[starts[starts < len(terms)]] = 0
+    return out
+
+
 def document_terms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """lang, source, terms, counts: a row for each document, with its distinct terms (as bytes in Latin-1, with the end mark)."""
+    """lang, source, terms: a row for each document, with its distinct terms in order (as bytes in Latin-1, with the end mark), their number n there, and the bytes shared with the term before."""
     def make():
         def run(rows):
             terms, counts, ends = [], [], [0]
             for data in rows["text"]:
-                found = Counter(data.translate(_TERM_BYTES).split()) if data else {}
-                terms += [t.decode("latin-1") + _END for t in found]
-                counts += found.values()
+                found = sorted(Counter(data.translate(_TERM_BYTES).split()).items()) if data else ()
+                terms += [t + _END.encode() for t, _ in found]
+                counts += [n for _, n in found]
                 ends.append(len(terms))
-            offsets = pa.array(ends, pa.int32())
-            return {"lang": rows["lang"], "source": rows["source"], "terms": pa.ListArray.from_arrays(offsets, pa.array(terms, pa.string())), "counts": pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))}
+            shared = _common(terms, np.array(ends[:-1], np.int64))
+            each = pa.StructArray.from_arrays([pa.array([t.decode("latin-1") for t in terms], pa.string()), pa.array(counts, pa.int64()), pa.array(shared, pa.int32())], ["term", "n", "shared"])
+            return {"lang": rows["lang"], "source": rows["source"], "terms": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)}
 
         return run
 
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     picked = docs.select(named(lang_col).alias("lang"), named(source_col).alias("source"), F.col(text_col).cast("binary").alias("text"))
-    return map_arrow(picked, make, "lang string, source string, terms array<string>, counts array<long>")
+    return map_arrow(picked, make, "lang string, source string, terms array<struct<term: string, n: long, shared: int>>")
 
 
 def prefix_counts(terms: DataFrame, length: int, done: int, survivors: DataFrame | None, most: int) -> DataFrame:
-    """lang, prefix, docs: for prefixes of `length` bytes (or complete terms) of terms longer than `done` bytes whose prefix of `done` bytes survived."""
-    prefixes = F.array_distinct(F.transform(F.filter("terms", lambda t: F.length(t) > done) if done else F.col("terms"), lambda t: F.left(t, F.lit(length))))
-    rows = terms.select("lang", F.explode(prefixes).alias("prefix"))
+    """lang, prefix, docs: for prefixes of `length` bytes (or complete terms) of terms longer than `done` bytes whose prefix of `done` bytes survived.
+
+    In the order of a document's terms a prefix is new where fewer bytes than its own are shared with the term before."""
+    rows = terms.select("lang", F.inline("terms")).where((F.col("shared") < length) & (F.length("term") > done)).select("lang", F.left("term", F.lit(length)).alias("prefix"))
     count = lambda df: df.groupBy("lang", "prefix").agg(F.count(F.lit(1)).alias("docs"))
     if survivors is None:
         return count(rows)
-    on = [rows["lang"] == survivors["_lang"], F.left(rows["prefix"], F.lit(done)) == survivors["_prefix"]]
     if bounded(survivors, most):
-        return count(rows.join(F.broadcast(survivors), on, "left_semi"))
+        return count(rows.join(F.broadcast(survivors), [rows["lang"] == survivors["_lang"], F.left(rows["prefix"], F.lit(done)) == survivors["_prefix"]], "left_semi"))
     counted = count(rows)
     return counted.join(survivors, [counted["lang"] == survivors["_lang"], F.left(counted["prefix"], F.lit(done)) == survivors["_prefix"]], "left_semi")
 
@@ -93,10 +111,11 @@ def kept_terms(terms: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, lev
 
 def term_counts(terms: DataFrame, kept: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """lang, source, term, count: occurrences of kept terms, where there are any."""
-    rows = terms.select("lang", "source", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("lang", "source", F.col("x.terms").alias("term"), F.col("x.counts").alias("count"))
-    total = lambda df: df.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
-    names = kept.select("lang", "term")
-    return total(rows.join(F.broadcast(names), ["lang", "term"], "left_semi")) if bounded(names, most) else total(rows).join(names, ["lang", "term"], "left_semi")
+    rows = terms.select("lang", "source", F.inline("terms")).select("lang", "source", "term", "n")
+    total = lambda df, *by: df.groupBy("lang", "source", *by).agg(F.sum("n").alias("count"))
+    if bounded(kept, most):
+        return total(rows.join(F.broadcast(kept.select("lang", "term")), ["lang", "term"], "left_semi"), "term")
+    return total(rows, "term").join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
 
 
 def share(count: str, n: str = "n", v: str = "v") -> Column:

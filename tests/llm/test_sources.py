@@ -71,9 +71,9 @@ def test_divergence_levels_only_follow_survivors(spark):
     scratch = Scratch(spark, "levels")
     terms = scratch.save(divergence.document_terms(spark.createDataFrame(rows, DOCS)), "documents")
     assert {r.term for r in divergence.kept_terms(terms, scratch).collect()} == {"common\0", "word\0"}
-    first = scratch.load("level-0").where("docs >= 30").selectExpr("lang as _lang", "prefix as _prefix")
-    second = divergence.prefix_counts(terms, 4, 2, first, 1 << 20).collect()
-    assert {r.prefix for r in second} == {"comm", "word"}
+    first = scratch.load("level-0").selectExpr("lang as _lang", "prefix as _prefix")
+    second = divergence.prefix_counts(terms, 6, 3, first, 1 << 20).collect()
+    assert {r.prefix for r in second} == {"common", "word\0"}
 
 
 def test_divergence_of_no_documents(spark):
