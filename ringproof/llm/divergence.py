@@ -36,55 +36,80 @@ SMOOTH = 5
 SCALE = 1_000_000_000
 TOP = 50
 #: Bytes of a prefix, level by level; beyond the last, twice as many each level.
-LEVELS = (3, 6, 10, 16, 24)
+LEVELS = (6, 10, 16, 24)
+#: Terms of so many bytes, the end mark not counted, are stored apart.
+LONG = 10
 #: Bytes of a term that are compared at once.
 WIDE = 24
 BLOCK = 128
 SLICE = 512
 _END = "\0"
+_MARK = _END.encode()
 #: Letters A-Z become small, other bytes below 0x80 but a-z part terms, bytes from 0x80 stay.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def _common(terms: list[bytes], starts: np.ndarray) -> np.ndarray:
-    """How many bytes each term shares with the one before it; 0 at the starts. Terms are sorted between starts, and end in the end mark."""
+    """How many bytes each term shares with the one before it; 0 at the starts. Terms are sorted between starts."""
     out = np.zeros(len(terms), np.int32)
     if len(terms) > 1:
         wide = np.array(terms, f"S{WIDE}").view(np.uint8).reshape(len(terms), WIDE)
         differs = wide[1:] != wide[:-1]
         out[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), WIDE)
         for k in np.flatnonzero(out == WIDE):  # rare: alike in their first bytes
-            out[k] = len(os.path.commonprefix((terms[k - 1], terms[k])))
+            out[k] = len(os.path.commonprefix((terms[k - 1] + _MARK, terms[k] + _MARK)))
     out[starts[starts < len(terms)]] = 0
     return out
 
 
+def _strings(terms: list[bytes]) -> pa.Array:
+    """Each term with the end mark, its bytes as characters of Latin-1."""
+    data = np.frombuffer((_MARK.join(terms) + _MARK if terms else b"").decode("latin-1").encode(), np.uint8)
+    ends = np.concatenate([[0], np.flatnonzero(data == 0) + 1]).astype(np.int32)  # no term holds the mark
+    return pa.Array.from_buffers(pa.string(), len(terms), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
 def document_terms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """lang, source, terms: a row for each document, with its distinct terms in order (as bytes in Latin-1, with the end mark), their number n there, and the bytes shared with the term before."""
+    """lang, source, short, long: a row for each document, with its distinct terms in order, their number n there, and the bytes shared with the term before.
+
+    Terms have their bytes as characters of Latin-1, and the end mark. Those of over LONG bytes stand apart, for the levels that only look at them."""
     def make():
         def run(rows):
             terms, counts, ends = [], [], [0]
             for data in rows["text"]:
-                found = sorted(Counter(data.translate(_TERM_BYTES).split()).items()) if data else ()
-                terms += [t + _END.encode() for t, _ in found]
-                counts += [n for _, n in found]
+                found = Counter(data.translate(_TERM_BYTES).split()) if data else {}
+                own = sorted(found)
+                terms += own
+                counts += map(found.__getitem__, own)
                 ends.append(len(terms))
-            shared = _common(terms, np.array(ends[:-1], np.int64))
-            each = pa.StructArray.from_arrays([pa.array([t.decode("latin-1") for t in terms], pa.string()), pa.array(counts, pa.int64()), pa.array(shared, pa.int32())], ["term", "n", "shared"])
-            return {"lang": rows["lang"], "source": rows["source"], "terms": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)}
+            ends = np.array(ends, np.int64)
+            shared, is_long = _common(terms, ends[:-1]), np.fromiter(map(len, terms), np.int64, len(terms)) >= LONG
+            each = pa.StructArray.from_arrays([_strings(terms), pa.array(counts, pa.int64()), pa.array(shared, pa.int32())], ["term", "n", "shared"])
+            out = {"lang": rows["lang"], "source": rows["source"]}
+            for name, mask in (("short", ~is_long), ("long", is_long)):
+                upto = np.concatenate([[0], np.cumsum(mask)])[ends]
+                out[name] = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), each.filter(pa.array(mask)))
+            return out
 
         return run
 
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     picked = docs.select(named(lang_col).alias("lang"), named(source_col).alias("source"), F.col(text_col).cast("binary").alias("text"))
-    return map_arrow(picked, make, "lang string, source string, terms array<struct<term: string, n: long, shared: int>>")
+    kind = "array<struct<term: string, n: long, shared: int>>"
+    return map_arrow(picked, make, f"lang string, source string, short {kind}, long {kind}", slice_bytes=2 << 20)
+
+
+def _entries(terms: DataFrame, done: int, *columns: str) -> DataFrame:
+    """A row for each term of a document, or at least for those that have more than `done` bytes with the end mark."""
+    rows = terms.select(*columns, F.inline("long"))
+    return rows if done >= LONG else rows.unionByName(terms.select(*columns, F.inline("short")))
 
 
 def prefix_counts(terms: DataFrame, length: int, done: int, survivors: DataFrame | None, most: int) -> DataFrame:
     """lang, prefix, docs: for prefixes of `length` bytes (or complete terms) of terms longer than `done` bytes whose prefix of `done` bytes survived.
 
     In the order of a document's terms a prefix is new where fewer bytes than its own are shared with the term before."""
-    rows = terms.select("lang", F.inline("terms")).where((F.col("shared") < length) & (F.length("term") > done)).select("lang", F.left("term", F.lit(length)).alias("prefix"))
+    rows = _entries(terms, done, "lang").where((F.col("shared") < length) & (F.length("term") > done)).select("lang", F.left("term", F.lit(length)).alias("prefix"))
     count = lambda df: df.groupBy("lang", "prefix").agg(F.count(F.lit(1)).alias("docs"))
     if survivors is None:
         return count(rows)
@@ -95,7 +120,7 @@ def prefix_counts(terms: DataFrame, length: int, done: int, survivors: DataFrame
 
 
 def kept_terms(terms: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, levels: tuple[int, ...] = LEVELS, most: int = BROADCAST_BYTES) -> DataFrame:
-    """lang, term (with the end mark), docs of every term in at least min_docs documents of its language."""
+    """lang, term (with the end mark), docs, id of every term in at least min_docs documents of its language."""
     found, survivors, done, k = None, None, 0, 0
     while True:
         length = levels[k] if k < len(levels) else done * 2
@@ -105,17 +130,18 @@ def kept_terms(terms: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, lev
         found = whole if found is None else found.unionByName(whole)
         survivors = counted.where(~complete).select(F.col("lang").alias("_lang"), F.col("prefix").alias("_prefix"))
         if survivors.isEmpty():
-            return scratch.save(found, "kept")
+            return scratch.save(found.withColumn("id", F.monotonically_increasing_id()), "kept")
         done, k = length, k + 1
 
 
 def term_counts(terms: DataFrame, kept: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """lang, source, term, count: occurrences of kept terms, where there are any."""
-    rows = terms.select("lang", "source", F.inline("terms")).select("lang", "source", "term", "n")
-    total = lambda df, *by: df.groupBy("lang", "source", *by).agg(F.sum("n").alias("count"))
-    if bounded(kept, most):
-        return total(rows.join(F.broadcast(kept.select("lang", "term")), ["lang", "term"], "left_semi"), "term")
-    return total(rows, "term").join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
+    """lang, source, term (its number), count: occurrences of kept terms, where there are any. Terms are counted by number, if the kept ones can be broadcast."""
+    rows = _entries(terms, 0, "lang", "source").select("lang", "source", "term", "n")
+    names = kept.select("lang", "term", "id")
+    total = lambda df, by: df.groupBy("lang", "source", by).agg(F.sum("n").alias("count"))
+    if bounded(names, most):
+        return total(rows.join(F.broadcast(names), ["lang", "term"]).select("lang", "source", "id", "n"), "id")
+    return total(rows, "term").join(names, ["lang", "term"]).select("lang", "source", "id", "count")
 
 
 def share(count: str, n: str = "n", v: str = "v") -> Column:
@@ -137,18 +163,19 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     groups = scratch.save(groups.withColumn("i", index).withColumn("base", F.coalesce(F.when(F.col("v") > 0, share("0")), F.lit(0).cast("long"))), "groups")
     langs = scratch.save(groups.groupBy("lang").agg(F.sum("n").alias("n"), F.max("v").alias("v"), F.count(F.lit(1)).alias("sources")), "languages")
     scored = join_bounded(counts, groups, ["lang", "source"], "inner", most).withColumn("p", share("count"))
-    return distances(scored, groups, langs, most).unionByName(raised(scored, counts, langs, top, most))
+    return distances(scored, groups, langs, most).unionByName(raised(scored, counts, kept, langs, top, most))
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
 
 
-def raised(scored: DataFrame, counts: DataFrame, langs: DataFrame, top: int, most: int) -> DataFrame:
+def raised(scored: DataFrame, counts: DataFrame, kept: DataFrame, langs: DataFrame, top: int, most: int) -> DataFrame:
     """The terms that a group has more of than its language. A task sends at most `top` rows of a group on."""
-    overall = join_bounded(counts.groupBy("lang", "term").agg(F.sum("count").alias("count")), langs, ["lang"], "inner", most).select("lang", "term", share("count").alias("q"))
+    overall = join_bounded(counts.groupBy("lang", "id").agg(F.sum("count").alias("count")), langs, ["lang"], "inner", most).select("id", "lang", share("count").alias("q"))
     item = F.expr("decode(encode(left(term, length(term) - 1), 'ISO-8859-1'), 'UTF-8')")
-    found = scored.join(overall, ["lang", "term"]).where("p > q").select("lang", "source", F.lit("term").alias("part"), item.alias("item"), F.expr("p - q").alias("value"))
+    found = scored.join(overall, ["lang", "id"]).where("p > q").select("lang", "source", "id", F.expr("p - q").alias("value"))
+    found = found.join(kept.select("id", item.alias("item")), "id").select("lang", "source", F.lit("term").alias("part"), "item", "value")
     return _ranked(found).where(F.col("rank") <= top)
 
 
@@ -156,10 +183,10 @@ def distances(scored: DataFrame, groups: DataFrame, langs: DataFrame, most: int)
     """The sums of |p - q| of every two sources of a language, from matrices of a block of sources by another over a slice of the terms."""
     slices = F.greatest(F.expr(f"(v + {SLICE - 1}) div {SLICE}"), F.lit(1))
     own = F.expr(f"i div {BLOCK}")
-    columns = ["lang", "source", "i", "base", "v", "term", "p", "slice", "sources"]
-    cells = join_bounded(scored, langs.select("lang", "sources"), ["lang"], "inner", most).withColumn("slice", F.pmod(F.xxhash64("term"), slices))
+    columns = ["lang", "source", "i", "base", "v", "id", "p", "slice", "sources"]
+    cells = join_bounded(scored, langs.select("lang", "sources"), ["lang"], "inner", most).withColumn("slice", F.pmod(F.xxhash64("id"), slices))
     # A source has a row in each slice, whether it has terms there or not.
-    anchors = join_bounded(groups, langs.select("lang", "sources"), ["lang"], "inner", most).withColumns({"term": F.lit(None).cast("string"), "p": F.lit(None).cast("long"), "slice": F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))})
+    anchors = join_bounded(groups, langs.select("lang", "sources"), ["lang"], "inner", most).withColumns({"id": F.lit(None).cast("long"), "p": F.lit(None).cast("long"), "slice": F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))})
     rows = cells.select(columns).unionByName(anchors.select(columns))
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(sources - 1) div {BLOCK}"))))
     rows = rows.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("sources", "other")
@@ -171,24 +198,24 @@ def distances(scored: DataFrame, groups: DataFrame, langs: DataFrame, most: int)
 def _matrix(cells: pa.Table) -> pa.Table:
     """One slice of the terms, for the sources of block a against those of block b."""
     known = {name: cells.column(name).to_numpy(zero_copy_only=False) for name in ("i", "base", "own")}
-    anchor = cells.column("term").is_null().to_numpy(zero_copy_only=False)
+    anchor = cells.column("id").is_null().to_numpy(zero_copy_only=False)
     a, b, v, part = (cells.column(name)[0].as_py() for name in ("a", "b", "v", "slice"))
     lang, names = cells.column("lang")[0].as_py(), cells.column("source")
     order = {side: sorted(np.flatnonzero(anchor & (known["own"] == side)), key=lambda k: known["i"][k]) for side in {a, b}}
     full = cells.filter(pa.array(~anchor))
-    terms = full.column("term").combine_chunks().dictionary_encode()
-    code, p, i, own = terms.indices.to_numpy(zero_copy_only=False), *(full.column(name).to_numpy(zero_copy_only=False) for name in ("p", "i", "own"))
+    p, i, own = (full.column(name).to_numpy(zero_copy_only=False) for name in ("p", "i", "own"))
+    terms, code = np.unique(full.column("id").to_numpy(zero_copy_only=False), return_inverse=True)
     table_of, bases = {}, {}
     for side, rows in order.items():
         bases[side] = known["base"][rows].astype(np.int64)
-        table_of[side] = np.tile(bases[side], (len(terms.dictionary), 1))
+        table_of[side] = np.tile(bases[side], (len(terms), 1))
         mine = own == side
         table_of[side][code[mine], i[mine] - side * BLOCK] = p[mine]
     out: dict = {"lang": [], "source": [], "item": [], "value": []}
     for k, row in enumerate(order[a]):
         start = k + 1 if a == b else 0
         nothing = np.abs(bases[a][k] - bases[b][start:])
-        sums = np.abs(table_of[a][:, k : k + 1] - table_of[b][:, start:]).sum(axis=0) + nothing * ((v if part == 0 else 0) - len(terms.dictionary))
+        sums = np.abs(table_of[a][:, k : k + 1] - table_of[b][:, start:]).sum(axis=0) + nothing * ((v if part == 0 else 0) - len(terms))
         others = order[b][start:]
         out["lang"] += [lang] * len(others)
         out["source"] += [names[int(row)].as_py()] * len(others)

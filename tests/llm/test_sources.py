@@ -67,13 +67,14 @@ def test_divergence_against_a_plain_version(spark, monkeypatch):
 
 def test_divergence_levels_only_follow_survivors(spark):
     """A discarded prefix isn't extended: below it no prefix is counted."""
-    rows = [(i, "common word" if i < 40 else f"lonely{'abcdefghij'[i % 10]}", "en", "s") for i in range(50)]
+    rows = [(i, "commonplace word" if i < 40 else f"lonelyhearted{'abcdefghij'[i % 10]}", "en", "s") for i in range(50)]
     scratch = Scratch(spark, "levels")
     terms = scratch.save(divergence.document_terms(spark.createDataFrame(rows, DOCS)), "documents")
-    assert {r.term for r in divergence.kept_terms(terms, scratch).collect()} == {"common\0", "word\0"}
+    assert {r.term for r in divergence.kept_terms(terms, scratch).collect()} == {"commonplace\0", "word\0"}
     first = scratch.load("level-0").selectExpr("lang as _lang", "prefix as _prefix")
-    second = divergence.prefix_counts(terms, 6, 3, first, 1 << 20).collect()
-    assert {r.prefix for r in second} == {"common", "word\0"}
+    assert {r._prefix for r in first.collect()} == {"common", "word\0"}
+    second = divergence.prefix_counts(terms, 10, 6, first, 1 << 20).collect()
+    assert {r.prefix for r in second} == {"commonplac"}
 
 
 def test_divergence_of_no_documents(spark):
