@@ -10,7 +10,8 @@ from ..functions import web
 from ..functions.text import fold, normalize, parse_boxer, split_sentences
 from ..operators import curated, discovery, grading, pages
 from ..sources import dims, parse, snapshot
-from . import prose, report
+from ..sources.store import kept
+from . import expected, prose, report, world
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -33,47 +34,14 @@ def _report(spark: SparkSession, sf_dir: str, *written: str) -> dict[str, DataFr
 
 
 # --- What the reports were made of, as SQL ------------------------------------------------------------------------
-_DOMAINS = ", ".join(f"({i}, '{d}', '{n}', '{t}', '{dims.PUBLISHER_ALIASES.get(d, d)}')" for i, (d, n, t) in enumerate(dims.DOMAINS))
-_FIELD_ROWS = ", ".join(f"('{f}', '{label}', {i}, {str(m).lower()})" for i, (f, label, m) in enumerate(dims.FIELDS))
 _BASE = f"""
 p as ({prose.PARAMS}),
-dom(dom, domain, name, tier, publisher) as (values {_DOMAINS}),
-fields(field, label, pos, multi) as (values {_FIELD_ROWS}),
+dom(dom, domain, name, tier, publisher) as (values {expected.DOMAINS}),
 ok as (select * from p where source_id >= 2),
-facts as (
-  select fight_id, source_id, 0 as pos, 'winner' as field, winner as value_key, w as display from ok
-  union all select fight_id, source_id, 1, 'method', {prose.case('kind', prose.METHOD_KEYS)}, {prose.case('kind', prose.METHOD_KEYS)} from ok
-  union all select fight_id, source_id, 2, 'round', rnd::varchar, rnd::varchar from ok where kind < 2
-  union all select fight_id, source_id, 3, 'time', clock, clock from ok where kind < 2
-  union all select fight_id, source_id, 4, 'scheduled_rounds', '12', '12' from ok where q % 7 = 0
-  union all select fight_id, source_id, 5, 'weight_class', case rf when 'A' then 'Super Lightweight' else 'Welterweight' end, case rf when 'A' then 'Super Lightweight' else 'Welterweight' end from ok where rf in ('A', 'N')
-  union all select fight_id, source_id, 6, 'titles', case rf when 'A' then 'WBC interim' else 'WBO' end, case rf when 'A' then 'WBC interim' else 'WBO' end from ok where rf in ('A', 'N')
-  union all select fight_id, source_id, 7, 'scorecards', '{prose.CARDS}', replace('{prose.CARDS}', ',', ', ') from ok where kind in (2, 3)
-  union all select fight_id, source_id, 8, 'referee', case q % 4 when 0 then 'tom reed' else 'ana poe' end, case q % 4 when 0 then 'Tom Reed' else 'Ana Poe' end from ok where q % 4 < 2
-),
-downs as (select fight_id, source_id, loser as victim, 1 + q % 4 as round, case when q % 6 = 0 then 2 else 1 end as count from ok where q % 3 = 0),
+facts as ({expected.line_facts('ok')}),
+downs as ({expected.line_knockdowns('ok')}),
 src as (select p.fight_id, p.source_id, dom.* from p join dom on p.dom = dom.dom),
-named as (select distinct fight_id from facts where field = 'method' and value_key in ('UD', 'SD', 'MD', 'TD')),
-ev as (select f.*, tier, publisher from facts f join src using (fight_id, source_id) where not (field = 'method' and value_key = 'PTS' and fight_id in (select fight_id from named))),
-graded as (
-  select fight_id, field, value_key, arg_min(display, source_id) as display, min(source_id) as ord, list_sort(list(distinct source_id)) as ids,
-         case when bool_or(tier = 'Official') then 4 when count(distinct publisher) >= 2 then 3 else 2 end as rank from ev group by fight_id, field, value_key
-),
-res as (
-  select fight_id, g.field, case when not any_value(multi) and count(*) > 1 then 0 else min(rank) end as rank, list_sort(list_distinct(flatten(list(ids)))) as ids, count(*) as n_values,
-         case when any_value(multi) then string_agg(display, ', ' order by ord) else string_agg(display, ' / ' order by -rank, -len(ids), ord) end as value,
-         string_agg(display || ' (' || array_to_string(list_transform(ids, lambda i: '[' || i || ']'), ', ') || ')', '; ' order by -rank, -len(ids), ord) as shown
-  from graded g join fields on g.field = fields.field group by fight_id, g.field
-),
-grid as (
-  select f.fight_id, fields.field, fields.pos, coalesce(rank, 1) as rank, coalesce(value, 'Not found') as value, coalesce(array_to_string(ids, ','), '') as source_ids, coalesce(n_values, 0)::bigint as n_values
-  from ({prose.FIGHTS_SQL}) f cross join fields left join res on res.fight_id = f.fight_id and res.field = fields.field
-),
-kd as (
-  select fight_id, victim, round, list_sort(list(distinct count)) as counts, list_sort(list(distinct source_id)) as ids,
-         case when count(distinct count) > 1 then 0 when bool_or(tier = 'Official') then 4 when count(distinct publisher) >= 2 then 3 else 2 end as rank
-  from downs join src using (fight_id, source_id) group by fight_id, victim, round
-)"""
+{expected.grading(prose.FIGHTS_SQL)}"""
 _STATUS = prose.case("rank", dims.STATUSES)
 _MIN_STATUS = lambda e: prose.case(e, dims.STATUSES)
 
@@ -399,3 +367,11 @@ def merged_scorecards(spark, sf_dir):
     part = F.when(F.col("q") % 3 == 0, "116-112,115-113").otherwise(prose.CARDS)
     ev = p.select("fight_id", "source_id", F.lit("scorecards").alias("field"), part.alias("value_key"), part.alias("display"), F.col("source_id").alias("ord"))
     return grading.merge_partial_scorecards(ev).groupBy("fight_id", "value_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {world.EXPECTED}, {expected.grading(world.FIGHTS)}, {world.NOTES} {world.REPORT_ROWS}")
+def full_match_report(spark, sf_dir):
+    """From names to graded reports over the derived crawl: fields, sources, knockdowns and notes of every bout."""
+    made, fights = kept(world.lines(spark, sf_dir)), kept(world.fights(spark, sf_dir))
+    crawl, feeds = kept(world.crawl(fights, made)), kept(world.feeds(made))
+    return world.report_rows(report.full_match_report(fights, crawl, feeds, world.robots(spark), F.lit(world.TODAY).cast("date")))

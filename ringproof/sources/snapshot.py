@@ -60,8 +60,8 @@ def admit_responses(responses: DataFrame, url: str = "url") -> DataFrame:
     return out.withColumn("outcome", outcome).select(*responses.columns, "outcome")
 
 
-def resolve_redirects(log: DataFrame, wanted: DataFrame, robots: DataFrame | None = None, agent: str = AGENT) -> DataFrame:
-    """url, final_url, status, error: each wanted address followed through at most three redirects; the domain, and the robots rules if they are given, are checked at every hop. log: url, status, location.
+def resolve_redirects(log: DataFrame, wanted: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """url, final_url, status, error: each wanted address followed through at most three redirects; the domain, and the robots rules (as robots_rules gives) if there are any, are checked at every hop. log: url, status, location.
 
     Only addresses that still move are joined on the next hop; what has come to its end is set aside, and the loop ends when
     nothing moves. An address that comes back to itself moves until the hops are used up. A missing log row of a repeated
@@ -70,14 +70,14 @@ def resolve_redirects(log: DataFrame, wanted: DataFrame, robots: DataFrame | Non
     moving, settled = kept(wanted.select("url").where("url is not null").distinct().withColumn("at", F.col("url"))), []
     for _ in range(MOST_HOPS + 1):
         checked = allowed(moving, "at").select("url", "at", "is_allowed")
-        if robots is not None:
+        if rules is not None:
             # A blocked domain needs no verdict.
-            checked = checked.join(robots_verdict(checked.where("is_allowed").select(F.col("at").alias("url")), robots, agent).select(F.col("url").alias("at"), "verdict").distinct(), "at", "left")
+            checked = checked.join(verdicts(checked.where("is_allowed").select(F.col("at").alias("url")), rules).withColumnRenamed("url", "at"), "at", "left")
         else:
             checked = checked.withColumn("verdict", F.lit("allow"))
         met = checked.join(steps, "at", "left")
         moves = F.col("got").isin(REDIRECTS) & (F.coalesce("location", F.lit("")) != "")
-        stopped = F.when(~F.coalesce("is_allowed", F.lit(False)), "domain not allowed").when(F.col("verdict") == "deny", "robots").when(F.col("verdict") == "slow", "crawl-delay").when(F.col("got").isNull(), "not crawled")
+        stopped = F.when(~F.coalesce("is_allowed", F.lit(False)), "domain not allowed").when(F.coalesce("verdict", F.lit("deny")) == "deny", "robots").when(F.col("verdict") == "slow", "crawl-delay").when(F.col("got").isNull(), "not crawled")
         met = met.withColumns({"stopped": stopped, "moves": stopped.isNull() & moves})
         next_at = F.when(F.col("moves"), absolute("at", "location"))
         met = kept(met.select("url", "at", "got", "stopped", "moves", next_at.alias("next")))
@@ -120,14 +120,13 @@ def robots_rules(robots: DataFrame, agent: str = AGENT) -> DataFrame:
     return rules.unionByName(hosts)
 
 
-def robots_verdict(pages: DataFrame, robots: DataFrame, agent: str = AGENT) -> DataFrame:
-    """pages and verdict: allow, deny or slow. pages: url; robots: host, status, body. A host without a robots row was not reached: deny.
+def verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """url, verdict: a row for each address that a rule matches. urls: url; rules: a written table, as robots_rules gives.
 
     Each address meets the rules of its host that spell its first segment, and those that spell none; of those that match the
     longest decides, and of equally long ones an allowing one. Hosts with very many addresses are salted."""
     rest = F.concat(part(F.col("url"), 3), F.when(part(F.col("url"), 4) != "", F.concat(F.lit("?"), part(F.col("url"), 4))).otherwise(F.lit("")))
-    urls = kept(pages.select("url").distinct().withColumns({"host": host_of(F.col("url")), "path": F.when(rest == "", "/").otherwise(rest)}))
-    rules = kept(robots_rules(robots, agent))
+    urls = kept(urls.select("url").distinct().withColumns({"host": host_of(F.col("url")), "path": F.when(rest == "", "/").otherwise(rest)}))
     segment = F.regexp_extract("path", "^/([^/?]+)/", 1)
     asked = urls.withColumn("segment", F.explode(F.array_distinct(F.array(F.lit(""), segment))))
     left, right, on = salted(asked, rules, ["host", "segment"], F.col("url"))
@@ -137,15 +136,20 @@ def robots_verdict(pages: DataFrame, robots: DataFrame, agent: str = AGENT) -> D
     plain = ~F.contains(pattern, F.lit("*")) & ~F.endswith(pattern, F.lit("$"))
     fits = F.when(plain, F.startswith("path", pattern)).otherwise(F.regexp_like("path", regex))
     allow_first = F.when(F.col("verdict") == "allow", 1).otherwise(0)
-    best = left.join(right, on).where(fits).groupBy("url").agg(F.max(F.struct("length", allow_first.alias("a"), "verdict"))["verdict"].alias("verdict"))
-    return pages.join(best, "url", "left").withColumn("verdict", F.coalesce("verdict", F.lit("deny"))).select(*pages.columns, "verdict")
+    return left.join(right, on).where(fits).groupBy("url").agg(F.max(F.struct("length", allow_first.alias("a"), "verdict"))["verdict"].alias("verdict"))
+
+
+def robots_verdict(pages: DataFrame, robots: DataFrame, agent: str = AGENT) -> DataFrame:
+    """pages and verdict: allow, deny or slow. pages: url; robots: host, status, body. A host without a robots row was not reached: deny."""
+    found = verdicts(pages, kept(robots_rules(robots, agent)))
+    return pages.join(found, "url", "left").withColumn("verdict", F.coalesce("verdict", F.lit("deny"))).select(*pages.columns, "verdict")
 
 
-def fetched(wanted: DataFrame, crawl: DataFrame, robots: DataFrame | None = None, agent: str = AGENT) -> DataFrame:
+def fetched(wanted: DataFrame, crawl: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """url, final_url, outcome of each wanted address: how a polite crawl comes to it, `ok` if its final response may be read.
 
     crawl: url, status, location, content_type, n_bytes: a row for each stored response."""
-    ends = resolve_redirects(crawl.select("url", "status", "location"), wanted, robots, agent)
+    ends = resolve_redirects(crawl.select("url", "status", "location"), wanted, rules)
     one = crawl.groupBy("url").agg(F.min(F.struct("status", "content_type", "n_bytes")).alias("_r")).select(F.col("url").alias("final_url"), "_r.*")
     good = ends.where("error is null").select("url", "final_url").join(one, "final_url")
     admitted = admit_responses(good.select("url", "final_url", "status", "content_type", "n_bytes"), "final_url").select("url", "final_url", "outcome")
