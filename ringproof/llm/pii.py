@@ -2,12 +2,14 @@
 
 Base: four patterns over the whole text as it is. Added: transducers rewrite disguises and keep, for every character
 of the rewritten text, the stretch of the source it stands for; the same patterns run over the rewritten text, and what
-they find is mapped back to source characters. Three transducers, each over the output of the one before:
+they find is mapped back to source characters. Four transducers, each over the output of the one before:
 
 1. characters: compatibility forms (full-width, circled, mathematical; by the Unicode compatibility decomposition) and
    Cyrillic and Greek look-alikes become ASCII; invisible characters go;
-2. spelled digits ("five", "fünf", "cinq", "cinco", "double two") in runs become digits, "plus" before them `+`;
-3. "at" and "dot" in brackets, or as words between the parts of an address, become `@` and `.`.
+2. white space: a run of three or more becomes two of its kind, which no pattern tells from it, so that the patterns of
+   the next two take linear time; this is no disguise;
+3. spelled digits ("five", "fünf", "cinq", "cinco", "double two") in runs become digits, "plus" before them `+`;
+4. "at" and "dot" in brackets, or as words between the parts of an address, become `@` and `.`.
 
 An added span counts only if its source holds a disguise and it either touches no base span or strictly contains every
 one that it touches (these stay base spans, too). Texts without any trigger take no transducer; triggers are looser than
@@ -18,7 +20,7 @@ keep a row each.
 """
 from __future__ import annotations
 
-import hashlib
+import bisect
 import re
 import unicodedata
 
@@ -56,12 +58,15 @@ LEAST_KINDS = 3
 _ONE = r"(?:(?:double|triple|doppel)[\s-]+)?(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + r"|[0-9])"
 _RUN = re.compile(rf"(?<![\w])(?:plus[\s-]+)?{_ONE}(?:[\s,.·/-]+{_ONE})+(?!\w)", re.I)
 _SPELLED = re.compile(r"\w+", re.I)
-_AT = r"(?:[\[({<]\s*(?:at|@|ät|arroba|arobase)\s*[\])}>]|\s+(?:at|arroba|arobase|klammeraffe)\s+)"
+_AT_WORD = "(?:at|arroba|arobase|klammeraffe)"
+_AT = rf"(?:[\[({{<]\s*(?:at|@|ät|arroba|arobase)\s*[\])}}>]|\s+{_AT_WORD}\s+)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+)"
-#: An address whose separators are disguised: local part (nine words at most), at, two to eleven labels. A plain "at" needs a
-#: disguised dot. The bounds keep the time linear in a long run of words and dots.
+#: A word for at is no part of an address, but where another at comes next.
+_PART = rf"(?!{_AT_WORD}\s(?!\s?(?:{_AT_WORD}\s|[\[({{<@])))[A-Za-z0-9_%+-]++"
+#: An address whose separators are disguised: local part, at, two labels or more. A plain "at" needs a disguised dot. A run
+#: of words and dots is taken whole, with or without what makes it an address, so that a long one is read once.
 _ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9_%+-])(?P<local>[A-Za-z0-9_%+-]++(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]++){{0,8}})(?P<at>\s*{_AT}\s*|\s*@\s*)(?P<host>[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++){{1,10}})", re.I)
+    rf"(?<![A-Za-z0-9_%+-])(?P<local>[A-Za-z0-9_%+-]++(?:(?:\.|{_DOT}){_PART})*+)(?:(?P<at>\s*{_AT}\s*|\s*@\s*)(?P<host>[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++)++))?", re.I)
 #: What the transducers need at least: an at or a dot in brackets, an @ beside white space.
 _SIGNS = re.compile(r"[\[({<]\s*(?:at|@|ät|arroba|arobase|dot|\.|punkt|punto|point)\s*[\])}>]|\s@|@\s", re.I)
 _DISGUISED_DOT = re.compile(_DOT, re.I)
@@ -75,6 +80,7 @@ _WORTH = {w.encode(): 1 for w in _DIGITS} | {w.encode(): n - 1 for w, n in _TIME
 _TOKENS = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or i == 95 or 97 <= i <= 122 or i > 127 else 32 for i in range(256))
 #: White space and the middle dot beyond ASCII, which part words as well.
 _PARTS = re.compile(r"[·\s]")
+_BLANKS = re.compile(r"\s{3,}")
 
 
 def luhn(digits: str) -> bool:
@@ -116,8 +122,8 @@ class Mapped:
     def of(cls, text: str) -> Mapped:
         return cls(text, list(range(len(text))), list(range(1, len(text) + 1)), [False] * len(text))
 
-    def rewrite(self, edits: list[tuple[int, int, str]]) -> Mapped:
-        """edits: (start, end, new), ascending and apart; every new character stands for the whole stretch."""
+    def rewrite(self, edits: list[tuple[int, int, str]], disguise: bool = True) -> Mapped:
+        """edits: (start, end, new), ascending and apart; every new character stands for the whole stretch, and counts as rewritten if it was a disguise."""
         if not edits:
             return self
         text, start, end, changed, at = [], [], [], [], 0
@@ -125,7 +131,7 @@ class Mapped:
             text.append(self.text[at:a] + new)
             start += self.start[at:a] + [self.start[a]] * len(new)
             end += self.end[at:a] + [self.end[b - 1]] * len(new)
-            changed += self.changed[at:a] + [True] * len(new)
+            changed += self.changed[at:a] + [disguise] * len(new)
             at = b
         return Mapped("".join(text) + self.text[at:], start + self.start[at:], end + self.end[at:], changed + self.changed[at:])
 
@@ -147,6 +153,11 @@ def characters(text: Mapped) -> Mapped:
     return text.rewrite([(i, i + 1, new) for i, c in enumerate(text.text) if c > "\x7f" and (new := known[c]) is not None])
 
 
+def white_space(text: Mapped) -> Mapped:
+    """Long runs shortened: to spaces if they are of spaces only, else to line ends, which end a number."""
+    return text.rewrite([(*m.span(), "\n\n" if m[0].strip(" ") else "  ") for m in _BLANKS.finditer(text.text)], disguise=False)
+
+
 def spelled_digits(text: Mapped) -> Mapped:
     edits = []
     for m in _RUN.finditer(text.text):
@@ -165,6 +176,8 @@ def spelled_digits(text: Mapped) -> Mapped:
 def separators(text: Mapped) -> Mapped:
     edits = []
     for m in _ADDRESS.finditer(text.text):
+        if m["at"] is None:
+            continue  # a run of words without an address
         plain_at = re.fullmatch(r"\s+\w+\s+", m["at"]) is not None
         dots = [d.span() for d in _DISGUISED_DOT.finditer(text.text, *m.span("host"))]
         own = [d.span() for d in _DISGUISED_DOT.finditer(text.text, *m.span("local"))]
@@ -195,18 +208,23 @@ def spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     base = find(text)
     if not _triggers(text):
         return base, []
-    plain = separators(spelled_digits(characters(Mapped.of(text))))
+    plain = separators(spelled_digits(white_space(characters(Mapped.of(text)))))
     found = [(kind, a, b) for kind, a, b in find(plain.text) if any(plain.changed[a:b])]
     # A number that is spelled out whole is a phone number without its plus, too.
     at = {i for _, a, b in found for i in range(a, b)}
     for m in re.finditer(r"[0-9]{10,15}", plain.text):
         if all(plain.changed[slice(*m.span())]) and plain.end[m.start()] - plain.start[m.start()] > 15 and m.start() not in at:
             found.append(("phone", *m.span()))
-    added = []
+    added, taken = [], bytearray(len(text))
+    of_kind = [([x for k, x, _ in base if k == kind], [y for k, _, y in base if k == kind]) for kind in KINDS]
     for kind, a, b in found:
         s, e = plain.start[a], plain.end[b - 1]
-        within = all(s <= x and y <= e and (s, e) != (x, y) for _, x, y in base if x < e and s < y)
-        if within and not any(x < e and s < y for _, x, y in added):
+        touched = []
+        for starts, ends in of_kind:  # in order and apart, so those that touch are neighbours
+            near = slice(bisect.bisect_right(ends, s), bisect.bisect_left(starts, e))
+            touched += zip(starts[near], ends[near])
+        if all(s <= x and y <= e and (s, e) != (x, y) for x, y in touched) and taken.find(1, s, e) < 0:
+            taken[s:e] = b"\1" * (e - s)
             added.append((kind, s, e))
     return base, sorted(added, key=lambda x: (KINDS.index(x[0]), x[1]))
 

@@ -41,6 +41,23 @@ def test_pii_long_runs_take_linear_time():
     assert time.time() - began < 30
 
 
+def test_pii_long_white_space_and_runs_of_words():
+    n = 1_000_000
+    for t in ("mail dot com a" + " " * n + "b", "mail dot com a" + "\n" * n + "b", "one" + " " * n + "two three four", "double" + "\t " * (n // 2) + "(dot)", "a dot " * (n // 6), "x at " + "b dot " * (n // 6) + "c", "1 dot " * (n // 6)):
+        began = time.time()
+        pii.spans(t)
+        assert time.time() - began < 20, t[:20]
+
+
+def test_pii_disguises_of_any_length():
+    local, host = " dot ".join(f"w{i}" for i in range(30)), " dot ".join(f"h{i}" for i in range(40))
+    for t in (f"{local} at {host}", f"{local} (at) {host}", f"a dot  b{' ' * 5000}at\n\n\n\nc [dot]{' ' * 5000}com"):
+        assert pii.spans(f"«{t}»")[1] == [("email", 1, 1 + len(t))]
+    assert pii.spans("polka dot at example dot com")[1] == [("email", 6, 28)]  # no part "at"
+    # Long blanks are no disguise, and join nothing that two do not join.
+    assert pii.spans("4111   1111   1111   1111 (at) +49   170 1234567 x")[1] == [] and pii.spans("+49   170   1234567")[0] == [("phone", 0, 19)]
+
+
 def test_pii_rows(spark):
     docs = spark.createDataFrame([(1, "a@b.cd"), (1, "a@b.cd"), (None, None), (2, "")], "doc_id long, text string").withColumn("id", F.lit("clash"))
     assert Counter((r.id, len(r.base)) for r in pii.detect(docs).collect()) == Counter({(1, 1): 2, (None, 0): 1, (2, 0): 1})
