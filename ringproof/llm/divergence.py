@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ SCALE = 1_000_000_000
 TOP = 50
 #: Bytes of a prefix, level by level; beyond the last, twice as many each level.
 LEVELS = (6, 10, 16, 24)
-#: Terms of so many bytes, the end mark not counted, are stored apart.
-LONG = 10
+#: Terms are stored apart by their bytes, the end mark not counted: from each of these on, up to the next.
+BANDS = (0, 6, 10)
 #: Bytes of a term that are compared at once.
 WIDE = 24
 BLOCK = 128
@@ -70,9 +71,9 @@ def _strings(terms: list[bytes]) -> pa.Array:
 
 
 def document_terms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """lang, source, short, long: a row for each document, with its distinct terms in order, their number n there, and the bytes shared with the term before.
+    """lang, source, and a column for each band: a row for each document, with its distinct terms in order, their number n there, and the bytes shared with the term before.
 
-    Terms have their bytes as characters of Latin-1, and the end mark. Those of over LONG bytes stand apart, for the levels that only look at them."""
+    Terms have their bytes as characters of Latin-1, and the end mark. The bands stand apart, for the levels that only look at longer terms."""
     def make():
         def run(rows):
             terms, counts, ends = [], [], [0]
@@ -83,26 +84,31 @@ def document_terms(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
                 counts += map(found.__getitem__, own)
                 ends.append(len(terms))
             ends = np.array(ends, np.int64)
-            shared, is_long = _common(terms, ends[:-1]), np.fromiter(map(len, terms), np.int64, len(terms)) >= LONG
+            shared, band = _common(terms, ends[:-1]), np.searchsorted(BANDS, np.fromiter(map(len, terms), np.int64, len(terms)), side="right") - 1
             each = pa.StructArray.from_arrays([_strings(terms), pa.array(counts, pa.int64()), pa.array(shared, pa.int32())], ["term", "n", "shared"])
             out = {"lang": rows["lang"], "source": rows["source"]}
-            for name, mask in (("short", ~is_long), ("long", is_long)):
+            for k, low in enumerate(BANDS):
+                mask = band == k
                 upto = np.concatenate([[0], np.cumsum(mask)])[ends]
-                out[name] = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), each.filter(pa.array(mask)))
+                out[_band(low)] = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), each.filter(pa.array(mask)))
             return out
 
         return run
 
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     picked = docs.select(named(lang_col).alias("lang"), named(source_col).alias("source"), F.col(text_col).cast("binary").alias("text"))
-    kind = "array<struct<term: string, n: long, shared: int>>"
-    return map_arrow(picked, make, f"lang string, source string, short {kind}, long {kind}", slice_bytes=2 << 20)
+    kind = ", ".join(f"{_band(low)} array<struct<term: string, n: long, shared: int>>" for low in BANDS)
+    return map_arrow(picked, make, f"lang string, source string, {kind}", slice_bytes=2 << 20)
+
+
+def _band(low: int) -> str:
+    return f"terms_{low}"
 
 
 def _entries(terms: DataFrame, done: int, *columns: str) -> DataFrame:
     """A row for each term of a document, or at least for those that have more than `done` bytes with the end mark."""
-    rows = terms.select(*columns, F.inline("long"))
-    return rows if done >= LONG else rows.unionByName(terms.select(*columns, F.inline("short")))
+    bands = [low for low, high in zip(BANDS, (*BANDS[1:], None)) if high is None or high > done]
+    return reduce(DataFrame.unionByName, [terms.select(*columns, F.inline(_band(low))) for low in bands])
 
 
 def prefix_counts(terms: DataFrame, length: int, done: int, survivors: DataFrame | None, most: int) -> DataFrame:
@@ -134,14 +140,16 @@ def kept_terms(terms: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, lev
         done, k = length, k + 1
 
 
-def term_counts(terms: DataFrame, kept: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """lang, source, term (its number), count: occurrences of kept terms, where there are any. Terms are counted by number, if the kept ones can be broadcast."""
-    rows = _entries(terms, 0, "lang", "source").select("lang", "source", "term", "n")
+def term_counts(terms: DataFrame, kept: DataFrame, groups: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """g, id, count: occurrences of kept terms in the groups (lang, source, g), where there are any.
+
+    If the kept terms can be broadcast, rows are counted by two numbers: a term's number tells its language, too."""
+    rows = _entries(join_bounded(terms, groups, ["lang", "source"], "inner", most), 0, "lang", "g").select("lang", "g", "term", "n")
     names = kept.select("lang", "term", "id")
-    total = lambda df, by: df.groupBy("lang", "source", by).agg(F.sum("n").alias("count"))
+    total = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("count"))
     if bounded(names, most):
-        return total(rows.join(F.broadcast(names), ["lang", "term"]).select("lang", "source", "id", "n"), "id")
-    return total(rows, "term").join(names, ["lang", "term"]).select("lang", "source", "id", "count")
+        return total(rows.join(F.broadcast(names), ["lang", "term"]).select("g", "id", "n"), "g", "id")
+    return total(rows, "lang", "g", "term").join(names, ["lang", "term"]).select("g", "id", "count")
 
 
 def share(count: str, n: str = "n", v: str = "v") -> Column:
@@ -154,15 +162,16 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     scratch = Scratch(docs.sparkSession, "divergence")
     terms = scratch.save(document_terms(docs, text_col, lang_col, source_col), "documents")
     kept = kept_terms(terms, scratch, min_docs, most=most)
-    counts = scratch.save(term_counts(terms, kept, most), "counts")
+    named = scratch.save(terms.select("lang", "source").distinct().withColumn("g", F.monotonically_increasing_id()), "names")
+    counts = scratch.save(term_counts(terms, kept, named, most), "counts")
     nought = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    sums = counts.groupBy("lang", "source").agg(F.sum("count").alias("n"))
+    sums = counts.groupBy("g").agg(F.sum("count").alias("n"))
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    groups = terms.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(sizes, "lang", "left").select("lang", "source", nought("n"), nought("v"))
+    groups = named.join(sums, "g", "left").join(sizes, "lang", "left").select("g", "lang", "source", nought("n"), nought("v"))
     index = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     groups = scratch.save(groups.withColumn("i", index).withColumn("base", F.coalesce(F.when(F.col("v") > 0, share("0")), F.lit(0).cast("long"))), "groups")
     langs = scratch.save(groups.groupBy("lang").agg(F.sum("n").alias("n"), F.max("v").alias("v"), F.count(F.lit(1)).alias("sources")), "languages")
-    scored = join_bounded(counts, groups, ["lang", "source"], "inner", most).withColumn("p", share("count"))
+    scored = join_bounded(counts, groups, ["g"], "inner", most).withColumn("p", share("count"))
     return distances(scored, groups, langs, most).unionByName(raised(scored, counts, kept, langs, top, most))
 
 
@@ -172,9 +181,10 @@ def _ranked(rows: DataFrame) -> DataFrame:
 
 def raised(scored: DataFrame, counts: DataFrame, kept: DataFrame, langs: DataFrame, top: int, most: int) -> DataFrame:
     """The terms that a group has more of than its language. A task sends at most `top` rows of a group on."""
-    overall = join_bounded(counts.groupBy("lang", "id").agg(F.sum("count").alias("count")), langs, ["lang"], "inner", most).select("id", "lang", share("count").alias("q"))
+    totals = counts.groupBy("id").agg(F.sum("count").alias("count")).join(kept.select("id", "lang"), "id")
+    overall = join_bounded(totals, langs, ["lang"], "inner", most).select("id", "lang", share("count").alias("q"))
     item = F.expr("decode(encode(left(term, length(term) - 1), 'ISO-8859-1'), 'UTF-8')")
-    found = scored.join(overall, ["lang", "id"]).where("p > q").select("lang", "source", "id", F.expr("p - q").alias("value"))
+    found = scored.join(overall.drop("lang"), "id").where("p > q").select("lang", "source", "id", F.expr("p - q").alias("value"))
     found = found.join(kept.select("id", item.alias("item")), "id").select("lang", "source", F.lit("term").alias("part"), "item", "value")
     return _ranked(found).where(F.col("rank") <= top)
 
