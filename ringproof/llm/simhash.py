@@ -40,8 +40,11 @@ WIDE_RADIUS = 72
 WIDE_FIRST = 22
 #: Candidates are links if their sets of shingles have this similarity.
 SIMILAR = 0.8
-#: Members of a group of candidates that are compared with as many others in a task.
-CHUNK = 2048
+#: Members of a group of candidates that are compared with as many others in a task, at most about so many and of so many bytes of shingles.
+CHUNK = 4096
+CHUNK_BYTES = 4 << 20
+#: Pairs whose parities of shingles are compared at a time.
+PARITY_BLOCK = 1 << 13
 #: Odd multipliers (fixed values).
 _MIXERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 _UPPER = bytes(range(65, 91))
@@ -214,27 +217,20 @@ def similar_classes(prints: DataFrame, texts: DataFrame, scratch: Scratch, width
     prints: as fingerprints gives with wide, a written table, whose rows may repeat. texts: id, text, a row for each id.
 
     Fingerprints give candidates, of which each link is tested on the shingles. A forest of the candidates is tested
-    first. Where all of a group's edges hold, its members are one class; in the other groups all candidates between
-    classes are tested, in chunks, so that no group is gathered."""
+    first. Where all of a group's edges hold, its members are one class; in the other groups the candidates between
+    classes are tested, in chunks, so that no group is gathered. A pair of chunks gives a forest of links, so rows don't
+    grow with the pairs of a group; the comparisons of bits in its tasks do."""
     distinct = scratch.save(prints.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("more").alias("more")), "distinct")
     edges = scratch.save(links(distinct.select("fp", "more", "node"), WIDE_FIRST, tile, WIDE_RADIUS).where("a <> b").distinct(), "candidates")
     ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().join(distinct.select("node", "least"), "node")
     shingles = scratch.save(_shingles(ends.join(texts, F.col("least") == F.col("id")).select("node", "text"), width), "shingles")
     held = scratch.save(_similar(edges, shingles), "held")
-    groups = scratch.save(components(edges, scratch), "groups")
+    groups = scratch.save(_rooted(components(edges, scratch), shingles), "groups")
     held_roots = scratch.save(_rooted(components(held, _within(scratch, "held")), distinct), "held-roots")
     # Groups with an edge that doesn't hold.
     open_groups = edges.join(held, ["a", "b"], "left_anti").join(groups, F.col("a") == groups["node"]).select("root").distinct()
-    members = scratch.save(groups.join(open_groups, "root", "left_semi").join(held_roots.withColumnRenamed("root", "own"), "node").join(distinct.select("node", "fp", "more"), "node"), "open")
-    counts = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n"))
-    dealt = members.join(counts, "root").withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("n") - 1)
-    left = dealt.select("root", F.col("c").alias("i"), F.explode(others).alias("j"), F.col("node").alias("a"), F.col("own").alias("own_a"), F.col("fp").alias("fp_a"), F.col("more").alias("more_a"))
-    right = dealt.select("root", F.explode(others).alias("i"), F.col("c").alias("j"), F.col("node").alias("b"), F.col("own").alias("own_b"), F.col("fp").alias("fp_b"), F.col("more").alias("more_b"))
-    first = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
-    whole = sum((F.bit_count(F.col("more_a")[k].bitwiseXOR(F.col("more_b")[k])) for k in range(len(_MIXERS))), first)
-    pairs = left.join(right, ["root", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("own_a") != F.col("own_b")) & (first <= WIDE_FIRST) & (whole <= WIDE_RADIUS)).select("a", "b")
-    more = scratch.save(_similar(pairs, shingles), "more")
+    members = groups.join(open_groups, "root", "left_semi").join(held_roots.withColumnRenamed("root", "own"), "node").join(distinct.select("node", "fp", "more"), "node").join(shingles, "node")
+    more = scratch.save(_links_between(scratch.save(members, "open")), "more")
     if more.isEmpty():
         rooted = held_roots
     else:
@@ -243,12 +239,99 @@ def similar_classes(prints: DataFrame, texts: DataFrame, scratch: Scratch, width
     return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
 
 
+def _links_between(members: DataFrame) -> DataFrame:
+    """a, b: links between classes of a group, which connect what all its links connect. members: root (the group), own (the class), node, fp, more, set; a written table."""
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum(F.octet_length("set")) / CHUNK_BYTES))
+    dealt = members.join(members.groupBy("root").agg(size.cast("int").alias("n")), "root").withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    columns = ("node", "own", "fp", "more", "set")
+    # In order of node: a chunk is made once for each side of the join, and its members must have the same places on both.
+    chunks = dealt.groupBy("root", "n", "c").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("m"))
+    left = chunks.select("root", F.col("c").alias("i"), F.explode(F.sequence(F.col("c"), F.col("n") - 1)).alias("j"), *[(F.flatten(f"m.{c}") if c == "more" else F.col(f"m.{c}")).alias(f"l_{c}") for c in columns])
+    right = chunks.select("root", F.col("c").alias("j"), *[(F.flatten(f"m.{c}") if c == "more" else F.col(f"m.{c}")).alias(f"r_{c}") for c in columns])
+    pairs = left.join(right, ["root", "j"]).repartition(4 * parts(members.sparkSession), "root", "i", "j")
+
+    def make():
+        def side(rows, k, of):
+            bits = [np.array(rows[f"{of}_{c}"][k], np.int64).view(np.uint64) for c in ("fp", "more")]
+            return rows[f"{of}_own"][k], np.column_stack([bits[0], bits[1].reshape(len(bits[0]), -1)]), [np.frombuffer(x, np.uint64) for x in rows[f"{of}_set"][k]]
+
+        def run(rows):
+            out = {"a": [], "b": []}
+            for k, (i, j, la, ra) in enumerate(zip(*[rows[c] for c in ("i", "j", "l_node", "r_node")])):
+                edges = similar_forest(side(rows, k, "l"), None if i == j else side(rows, k, "r"))
+                out["a"] += [la[x] for x, _ in edges]
+                out["b"] += [ra[y] for _, y in edges]
+            return out
+
+        return run
+
+    return map_arrow(pairs, make, "a long, b long")
+
+
+def _parities(sets: list[np.ndarray], width: int, step: int = 256) -> np.ndarray:
+    """A row of `width` bits for each set: whether it has an odd number of the hashes that fall on a bit. Two rows differ in no more bits than the sets in members."""
+    out = np.zeros((len(sets), width // 64), np.uint64)
+    for i in range(0, len(sets), step):
+        some = sets[i : i + step]
+        at = np.repeat(np.arange(len(some)) * width, [len(x) for x in some]) + (np.concatenate(some) % np.uint64(width)).astype(np.int64)
+        odd = (np.bincount(at, minlength=len(some) * width) & 1).astype(bool)
+        out[i : i + step] = np.packbits(odd.reshape(len(some), width), axis=1).view(np.uint64)
+    return out
+
+
+def similar_forest(left: tuple, right: tuple | None, block: int = BLOCK) -> list[tuple[int, int]]:
+    """Edges (places in left and right, or within left) of links between classes: with the classes, a spanning forest of all links.
+
+    left, right: classes, rows of the fingerprints' bits, sets of shingles (ascending). A pair in one class by then isn't
+    looked at; one whose parities differ in more bits than sets of SIMILAR may is none; the others are tested on the sets."""
+    own = right is None
+    (own_a, bits_a, sets_a), (own_b, bits_b, sets_b) = left, left if own else right
+    names, label = np.unique(np.array([*own_a, *own_b], np.int64), return_inverse=True)
+    if len(names) < 2:
+        return []
+    tree = np.arange(len(names))
+    la, lb = label[: len(own_a)], label[len(own_a) :]
+    longest = max(map(len, [*sets_a, *sets_b]))
+    width = min(1 << 13, 1 << max(10, (2 * longest).bit_length()))
+    par_a = _parities(sets_a, width)
+    par_b = par_a if own else _parities(sets_b, width)
+    len_a, len_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (sets_a, sets_b))
+    differ = (1 - SIMILAR) / (1 + SIMILAR)  # of the members of both sets
+    edges = []
+
+    def root(t: int) -> int:
+        while tree[t] != t:
+            tree[t] = t = tree[tree[t]]
+        return int(t)
+
+    step = max(1, block // len(lb))
+    for i in range(0, len(la), step):
+        first = i + 1 if own else 0
+        near = np.bitwise_count(bits_a[i : i + step, None, 0] ^ bits_b[None, first:, 0]) <= WIDE_FIRST
+        x, y = np.nonzero(near)
+        x, y = x + i, y + first
+        some = (tree[la[x]] != tree[lb[y]]) & ((x < y) | (not own))
+        x, y = x[some], y[some]
+        some = np.bitwise_count(bits_a[x] ^ bits_b[y]).sum(axis=1) <= WIDE_RADIUS
+        x, y = x[some], y[some]
+        for k in range(0, len(x), PARITY_BLOCK):
+            p, q = x[k : k + PARITY_BLOCK], y[k : k + PARITY_BLOCK]
+            some = np.bitwise_count(par_a[p] ^ par_b[q]).sum(axis=1, dtype=np.int64) <= differ * (len_a[p] + len_b[q]) + 1e-6
+            for u, v in zip(p[some].tolist(), q[some].tolist()):
+                r, s = root(la[u]), root(lb[v])
+                if r != s and jaccard(sets_a[u], sets_b[v]) >= SIMILAR:
+                    tree[max(r, s)] = min(r, s)
+                    edges.append((u, v))
+        tree = np.array([root(t) for t in range(len(tree))]) if edges else tree
+    return edges
+
+
 def _within(scratch: Scratch, job: str) -> Scratch:
     return Scratch(scratch.spark, f"simhash-{job}")
 
 
 def _rooted(roots: DataFrame, distinct: DataFrame) -> DataFrame:
-    """node, root of every node: its own if it has no edge."""
+    """node, root of every node: its own if it has no edge or is the root, which components doesn't list."""
     return distinct.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from ringproof.llm import decontaminate, pii
+from ringproof.llm import decontaminate, pii, simhash
 
 
 def test_large_benchmark_loses_no_copy(spark):
@@ -98,3 +98,39 @@ def test_null_and_repeated_ids_are_judged_by_text(spark):
     leaky = spark.createDataFrame([(None, f"{a} {item}"), (None, a), (5, f"{b} {item}"), (5, c)], "doc_id long, text string")
     clean = corpus_pipeline.decontaminate.apply(corpus_pipeline._keyed(leaky), spark.createDataFrame([(1, item)], "item_id long, text string"), corpus_pipeline.KEY)
     assert {(x.doc_id, x.text) for x in clean.collect()} == {(None, a), (5, c)}
+
+
+def test_near_duplicates_within_a_group_of_candidates(spark, monkeypatch):
+    """Copies of a page with more or fewer changes, most of them candidates of each other: few links hold, and the links written between classes don't grow with the pairs."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    page = [f"w{r.randrange(5000)}" for _ in range(80)]
+    docs = [list(page) for _ in range(240)]
+    for i, ws in enumerate(docs):
+        for _ in range(1 + i % 4):
+            ws[r.randrange(80)] = f"x{i}y{r.randrange(5000)}"
+    pages = [[f"v{r.randrange(5000)}" for _ in range(60)] for _ in range(30)]
+    for ws in pages:
+        docs += [ws[:k] + [f"z{r.randrange(10**6)}" for _ in range(60 - k)] for k in (60, 56, 52, 48)]
+    sets = [{tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} for ws in docs]
+    root = list(range(len(docs)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]) and root[i] != root[j]:
+                a, b = root[i], root[j]
+                root = [min(a, b) if p in (a, b) else p for p in root]
+    saved, save = {}, simhash.Scratch.save
+
+    def recorded(self, df, name, *args):
+        saved[name] = save(self, df, name, *args)
+        return saved[name]
+
+    monkeypatch.setattr(simhash.Scratch, "save", recorded)
+    rows = [(i, " ".join(ws)) for i, ws in enumerate(docs)]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {x.doc_id for x in out.collect()} == set(root)
+    assert 0 < saved["more"].count() < len(docs)  # a single chunk: fewer than its members
+    monkeypatch.setattr(simhash, "CHUNK", 50)
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {x.doc_id for x in out.collect()} == set(root)
