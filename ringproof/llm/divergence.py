@@ -5,9 +5,10 @@ distinct documents of every prefix of `LEVELS[k]` bytes are counted, prefixes in
 terms whose prefix survived are looked at on the next level, with longer prefixes. A term carries an end mark, so a prefix
 that holds the mark is a complete term, which is kept or discarded for good. Since a term is in no more documents than its
 prefix, nothing is lost. A document gives each of its prefixes once: its terms are sorted, so a prefix is new where a term
-shares fewer bytes than that with the term before it. Documents are never brought together: counts are combined before the
-shuffle, and the survivors of a level reach the documents by a broadcast, if their bytes allow it; else the counts of the
-next level are joined to them.
+shares fewer bytes than that with the term before it. A slice of documents (SLICE_BYTES of text) is read once and gives a row
+for each of its terms, with the documents where the prefix of each level is new there, and its number in each source.
+Counts are combined before the shuffle, and the survivors of a level reach these rows by a broadcast, if their bytes allow
+it; else the counts of the next level are joined to them.
 
 Kept terms are counted by language and source, and shares p, in thousand millionths, are whole numbers. Sources of a
 language are compared in blocks of at most BLOCK by BLOCK sources and about SLICE terms: each such group is a matrix in a
@@ -22,8 +23,8 @@ that repeat a doc_id; a language that keeps no term has distances of 0 and no `t
 from __future__ import annotations
 
 import os
-from collections import Counter
-from functools import reduce
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ SCALE = 1_000_000_000
 TOP = 50
 #: Bytes of a prefix, level by level; beyond the last, twice as many each level.
 LEVELS = (6, 10, 16, 24)
-#: Terms are stored apart by their bytes, the end mark not counted: from each of these on, up to the next.
-BANDS = (0, 6, 10)
+#: Bytes of documents whose terms are counted together in a task.
+SLICE_BYTES = 16 << 20
 #: Bytes of a term that are compared at once.
 WIDE = 24
 BLOCK = 128
@@ -70,66 +71,94 @@ def _strings(terms: list[bytes]) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(terms), [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
 
+def _levels(longest: int) -> list[int]:
+    """Bytes of a prefix, level by level, up to the first that holds the longest term with its end mark."""
+    out = [LEVELS[0]]
+    while out[-1] < longest:
+        out.append(LEVELS[len(out)] if len(out) < len(LEVELS) else out[-1] * 2)
+    return out
+
+
 def document_terms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """lang, source, and a column for each band: a row for each document, with its distinct terms in order, their number n there, and the bytes shared with the term before.
+    """lang, term, fresh, uses: a row for each term of a slice of documents.
 
-    Terms have their bytes as characters of Latin-1, and the end mark. The bands stand apart, for the levels that only look at longer terms."""
+    fresh: by level, in how many of its documents the term's prefix is in none of the terms before it, up to the level that holds the whole term.
+    uses: its number in each source. Terms have their bytes as characters of Latin-1, and the end mark."""
     def make():
         def run(rows):
-            terms, counts, ends = [], [], [0]
-            for data in rows["text"]:
-                found = Counter(data.translate(_TERM_BYTES).split()) if data else {}
-                own = sorted(found)
-                terms += own
-                counts += map(found.__getitem__, own)
-                ends.append(len(terms))
-            ends = np.array(ends, np.int64)
-            shared, band = _common(terms, ends[:-1]), np.searchsorted(BANDS, np.fromiter(map(len, terms), np.int64, len(terms)), side="right") - 1
-            each = pa.StructArray.from_arrays([_strings(terms), pa.array(counts, pa.int64()), pa.array(shared, pa.int32())], ["term", "n", "shared"])
-            out = {"lang": rows["lang"], "source": rows["source"]}
-            for k, low in enumerate(BANDS):
-                mask = band == k
-                upto = np.concatenate([[0], np.cumsum(mask)])[ends]
-                out[_band(low)] = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), each.filter(pa.array(mask)))
-            return out
+            number = count()
+            index = defaultdict(lambda: defaultdict(number.__next__))  # by language: a number for each term
+            codes, sources = [], {}
+            for data, lang in zip(rows["text"], rows["lang"]):
+                words = data.translate(_TERM_BYTES).split() if data else []
+                codes.append(np.fromiter(map(index[lang].__getitem__, words), np.int64, len(words)))
+            doc = np.repeat(np.arange(len(codes)), [len(x) for x in codes])
+            of = np.array([sources.setdefault(x, len(sources)) for x in rows["source"]], np.int64)
+            terms, langs, starts = [], [], []
+            rank = np.empty(next(number), np.int64)
+            for lang, own in index.items():
+                found = sorted(own)
+                rank[list(map(own.__getitem__, found))] = np.arange(len(terms), len(terms) + len(found))
+                starts.append(len(terms))
+                langs += [lang] * len(found)
+                terms += found
+            n, place = len(terms), rank[np.concatenate(codes)]
+            sizes = np.fromiter(map(len, terms), np.int64, n) + 1
+            # Each term of a document once, in order.
+            once = doc * n + place
+            once.sort()
+            once = once[np.diff(once, prepend=-1) != 0]
+            at, term = np.divmod(once, max(n, 1))
+            first = np.diff(at, prepend=-1) != 0
+            shared = _common(terms, np.array(starts, np.int64))
+            levels = _levels(int(sizes.max(initial=1)))
+            fresh = np.empty((n, len(levels)), np.int32)
+            for k, length in enumerate(levels):
+                prefix = np.cumsum(shared < length)[term]
+                fresh[:, k] = np.bincount(term[first | (np.diff(prefix, prepend=-1) != 0)], minlength=n)
+            wanted = np.array([0, *levels[:-1]]) < sizes[:, None]
+            # Occurrences by term and source.
+            uses = place * max(len(sources), 1) + of[doc]
+            uses.sort()
+            heads = np.flatnonzero(np.diff(uses, prepend=-1))
+            used, source = np.divmod(uses[heads], max(len(sources), 1))
+            each = pa.StructArray.from_arrays([pa.array(list(sources), pa.string()).take(pa.array(source)), pa.array(np.diff(heads, append=len(uses)), pa.int64())], ["source", "n"])
+            ends = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]), pa.int32())
+            return {
+                "lang": pa.array(langs, pa.string()),
+                "term": _strings(terms),
+                "fresh": pa.ListArray.from_arrays(ends(wanted.sum(axis=1)), pa.array(fresh[wanted])),
+                "uses": pa.ListArray.from_arrays(ends(np.bincount(used, minlength=n)), each),
+            }
 
         return run
 
-    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    picked = docs.select(named(lang_col).alias("lang"), named(source_col).alias("source"), F.col(text_col).cast("binary").alias("text"))
-    kind = ", ".join(f"{_band(low)} array<struct<term: string, n: long, shared: int>>" for low in BANDS)
-    return map_arrow(picked, make, f"lang string, source string, {kind}", slice_bytes=2 << 20)
+    picked = docs.select(*_named(lang_col, source_col), F.col(text_col).cast("binary").alias("text"))
+    return map_arrow(picked, make, "lang string, term string, fresh array<int>, uses array<struct<source: string, n: long>>", slice_bytes=SLICE_BYTES)
 
 
-def _band(low: int) -> str:
-    return f"terms_{low}"
-
-
-def _entries(terms: DataFrame, done: int, *columns: str) -> DataFrame:
-    """A row for each term of a document, or at least for those that have more than `done` bytes with the end mark."""
-    bands = [low for low, high in zip(BANDS, (*BANDS[1:], None)) if high is None or high > done]
-    return reduce(DataFrame.unionByName, [terms.select(*columns, F.inline(_band(low))) for low in bands])
+def _named(lang_col: str, source_col: str) -> list[Column]:
+    return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"))]
 
 
 def prefix_counts(terms: DataFrame, length: int, done: int, survivors: DataFrame | None, most: int) -> DataFrame:
-    """lang, prefix, docs: for prefixes of `length` bytes (or complete terms) of terms longer than `done` bytes whose prefix of `done` bytes survived.
-
-    In the order of a document's terms a prefix is new where fewer bytes than its own are shared with the term before."""
-    rows = _entries(terms, done, "lang").where((F.col("shared") < length) & (F.length("term") > done)).select("lang", F.left("term", F.lit(length)).alias("prefix"))
-    count = lambda df: df.groupBy("lang", "prefix").agg(F.count(F.lit(1)).alias("docs"))
+    """lang, prefix, docs: for prefixes of `length` bytes (or complete terms) of terms longer than `done` bytes whose prefix of `done` bytes survived."""
+    fresh = F.get("fresh", F.lit(len(_levels(length)) - 1))
+    rows = terms.where((F.length("term") > done) & (fresh > 0)).select("lang", F.left("term", F.lit(length)).alias("prefix"), fresh.alias("docs"))
+    total = lambda df: df.groupBy("lang", "prefix").agg(F.sum("docs").alias("docs"))
     if survivors is None:
-        return count(rows)
+        return total(rows)
     if bounded(survivors, most):
-        return count(rows.join(F.broadcast(survivors), [rows["lang"] == survivors["_lang"], F.left(rows["prefix"], F.lit(done)) == survivors["_prefix"]], "left_semi"))
-    counted = count(rows)
+        return total(rows.join(F.broadcast(survivors), [rows["lang"] == survivors["_lang"], F.left(rows["prefix"], F.lit(done)) == survivors["_prefix"]], "left_semi"))
+    counted = total(rows)
     return counted.join(survivors, [counted["lang"] == survivors["_lang"], F.left(counted["prefix"], F.lit(done)) == survivors["_prefix"]], "left_semi")
 
 
-def kept_terms(terms: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, levels: tuple[int, ...] = LEVELS, most: int = BROADCAST_BYTES) -> DataFrame:
+def kept_terms(terms: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, most: int = BROADCAST_BYTES) -> DataFrame:
     """lang, term (with the end mark), docs, id of every term in at least min_docs documents of its language."""
     found, survivors, done, k = None, None, 0, 0
     while True:
-        length = levels[k] if k < len(levels) else done * 2
+        length = _levels(done + 1)[-1]
         counted = scratch.save(prefix_counts(terms, length, done, survivors, most).where(F.col("docs") >= min_docs), f"level-{k}")
         complete = F.col("prefix").endswith(_END)
         whole = counted.where(complete).withColumnRenamed("prefix", "term")
@@ -144,12 +173,12 @@ def term_counts(terms: DataFrame, kept: DataFrame, groups: DataFrame, most: int
     """g, id, count: occurrences of kept terms in the groups (lang, source, g), where there are any.
 
     If the kept terms can be broadcast, rows are counted by two numbers: a term's number tells its language, too."""
-    rows = _entries(join_bounded(terms, groups, ["lang", "source"], "inner", most), 0, "lang", "g").select("lang", "g", "term", "n")
+    rows = lambda df, *by: join_bounded(df.select("lang", *by, F.inline("uses")), groups, ["lang", "source"], "inner", most)
     names = kept.select("lang", "term", "id")
     total = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("count"))
     if bounded(names, most):
-        return total(rows.join(F.broadcast(names), ["lang", "term"]).select("g", "id", "n"), "g", "id")
-    return total(rows, "lang", "g", "term").join(names, ["lang", "term"]).select("g", "id", "count")
+        return total(rows(terms.join(F.broadcast(names), ["lang", "term"]), "id").select("g", "id", "n"), "g", "id")
+    return total(rows(terms, "term"), "lang", "g", "term").join(names, ["lang", "term"]).select("g", "id", "count")
 
 
 def share(count: str, n: str = "n", v: str = "v") -> Column:
@@ -162,7 +191,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     scratch = Scratch(docs.sparkSession, "divergence")
     terms = scratch.save(document_terms(docs, text_col, lang_col, source_col), "documents")
     kept = kept_terms(terms, scratch, min_docs, most=most)
-    named = scratch.save(terms.select("lang", "source").distinct().withColumn("g", F.monotonically_increasing_id()), "names")
+    named = scratch.save(docs.select(*_named(lang_col, source_col)).distinct().withColumn("g", F.monotonically_increasing_id()), "names")
     counts = scratch.save(term_counts(terms, kept, named, most), "counts")
     nought = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     sums = counts.groupBy("g").agg(F.sum("count").alias("n"))

@@ -77,6 +77,14 @@ def test_divergence_levels_only_follow_survivors(spark):
     assert {r.prefix for r in second} == {"commonplac"}
 
 
+def test_divergence_counts_the_terms_of_a_slice_once(spark):
+    """A row for each term, not for each document: documents where a prefix is new, level by level, and occurrences by source."""
+    docs = spark.createDataFrame([(i, "alphabetical beta Alpha alphabet beta", "en", "ab"[i % 2]) for i in range(1000)], DOCS).coalesce(1)
+    found = {r.term: (r.fresh, sorted(map(tuple, r.uses))) for r in divergence.document_terms(docs).collect()}
+    one = [("a", 500), ("b", 500)]
+    assert found == {"alpha\0": ([1000], one), "alphabet\0": ([1000, 1000], one), "alphabetical\0": ([0, 1000, 1000], one), "beta\0": ([1000], [("a", 1000), ("b", 1000)])}
+
+
 def test_divergence_of_no_documents(spark):
     assert divergence.audit(spark.createDataFrame([], DOCS)).collect() == []
 
