@@ -40,7 +40,7 @@ TOP = 50
 #: Bytes of a prefix, level by level; beyond the last, twice as many each level.
 LEVELS = (6, 10, 16, 24)
 #: Bytes of documents whose terms are counted together in a task.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 #: Bytes of a term that are compared at once.
 WIDE = 24
 BLOCK = 128
